@@ -6,18 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pieces, token_files
 from .toxicity import toxicity
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer file lies, here and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = token_files.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return token_files.read(manifest, folder)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pieces": op3_pieces,
+    "op5_token_files": op5_token_files,
     "op9_toxicity": op9_toxicity,
 }
 
