@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, lines, mixing, near_dedup, pieces, token_files
+from . import chunks, lines, mixing, near_dedup, pieces, token_files, topk
 from .toxicity import toxicity
 
 
@@ -38,6 +38,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, folder)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
+    "op6_topk": op6_topk,
     "op8_lines": op8_lines,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
@@ -62,4 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.SQL,
+    "op6_topk": topk.SQL,
 }
