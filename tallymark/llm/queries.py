@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, lines, mixing, near_dedup, pieces, token_files, topk
+from . import chunks, lines, mixing, near_dedup, pieces, pii, token_files, topk
 from .toxicity import toxicity
 
 
@@ -42,6 +42,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op6_topk": op6_topk,
+    "op7_pii": op7_pii,
     "op8_lines": op8_lines,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
