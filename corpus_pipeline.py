@@ -1,19 +1,51 @@
-"""The corpus pipeline: each stage works on all that the one before it kept, through Parquet."""
+"""The corpus pipeline: each stage works on all that the one before it kept, through Parquet.
+
+Edge cases are those of the operators; every stage takes null or empty texts, null ids, repeated rows, empty tables and extra columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymark.llm import toxicity as _toxicity
+from tallymark.llm import lines, mixing, near_dedup, pieces, queries
+from tallymark.llm import toxicity as toxic
 from tallymark.session import staged
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
-    return _toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines are deleted from the texts; a document of which no word is left goes."""
+    return lines.drop_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of smallest doc_id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: repeated by complete epochs, or left out."""
+    return mixing.mix(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the hash of the decoded text of every row."""
+    coded = pieces.encode(docs, queries.tokenizer("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", toxicity)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("near duplicates", near_duplicates),
+    ("mixing sources", mixing_sources),
+    ("sentencepiece", sentencepiece),
+]
 
 #: A trained stage has no SQL form; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None

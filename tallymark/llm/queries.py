@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, lines, mixing, near_dedup, pieces, pii, token_files, topk
+from . import chunks, lines, mixing, near_dedup, outliers, pieces, pii, token_files, topk
 from .toxicity import toxicity
 
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality(table(spark, sf_dir, "documents"))
+
+
 def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.duplicate_spans(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_outliers": op1_outliers,
     "op2_chunks": op2_chunks,
     "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
