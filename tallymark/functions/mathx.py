@@ -34,7 +34,7 @@ def log_position(x: Column, low: Column, high: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Distance of two 256-bit hex strings."""
     word = lambda x, k: F.conv(F.substring(x, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
-    as_long = lambda d: F.when(d > 2**63 - 1, (d - F.lit(2**64).cast("decimal(20,0)"))).otherwise(d).cast("long")
+    as_long = lambda d: F.when(d > 2**63 - 1, (d - F.lit(str(2**64)).cast("decimal(20,0)"))).otherwise(d).cast("long")
     out = F.lit(0)
     for k in range(4):
         out = out + F.bit_count(as_long(word(a, k)).bitwiseXOR(as_long(word(b, k))))
