@@ -9,6 +9,7 @@ from collections.abc import Iterable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Latin letters with marks and what is left without them; `strip_accents_full` covers all of Unicode.
 _MARKED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝŸÑÇ"
@@ -21,13 +22,13 @@ def strip_accents(x: Column) -> Column:
     return F.translate(x, _MARKED, _PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents_full(x: pd.Series) -> pd.Series:
     """Decompose and drop combining marks U+0300 to U+036F."""
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(x: pd.Series) -> pd.Series:
     """Numeric and named HTML references; unknown ones stay."""
     return x.map(lambda s: None if s is None else html.unescape(s) if "&" in s else s)
