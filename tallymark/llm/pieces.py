@@ -31,7 +31,7 @@ _NONE = np.int32(2**31 - 1)
 class PieceModel:
     """The vocabulary of a SentencePiece BPE model, as tables for the merge rounds."""
 
-    def __init__(self, path: str, remember: int = 350_000):
+    def __init__(self, path: str, remember: int = 250_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -188,6 +188,10 @@ class PieceModel:
             out.append(ids)
         return out
 
+    def forget(self) -> None:
+        """Drop what is remembered, so that an idle worker holds no words."""
+        self.known = _Known()
+
     # -- decoding ------------------------------------------------------------------------------------------------
 
     def decode(self, ids: np.ndarray) -> str:
@@ -270,6 +274,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
         for batch in text_slices(batches):
             ids = m.encode(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([m.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        m.forget()
 
     return pick(documents, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -290,5 +295,6 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        m.forget()
 
     return pick(documents, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
