@@ -224,7 +224,7 @@ class ShardReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
 
-def write(documents: DataFrame, path: str, folder: str | None = None, length: int = 2048, end_id: int = 1, rows_per_shard: int = 20_000, most_shards: int = 10_000) -> tuple[DataFrame, str]:
+def write(documents: DataFrame, path: str, folder: str | None = None, length: int = 2048, end_id: int = 1, rows_per_shard: int = 10_000, most_shards: int = 10_000) -> tuple[DataFrame, str]:
     """Encode and write all documents; the manifest (shard, name, n_tokens, n_docs, start) and the folder.
 
     Shards are ranges of doc_id between approximate quantiles, so one shuffle of the texts orders them; each task
@@ -262,7 +262,7 @@ def write(documents: DataFrame, path: str, folder: str | None = None, length: in
         if out is not None:
             yield _row(out)
 
-    dealt = docs.withColumn("shard", shard_of("doc_id")).repartition(shards, "shard").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie").select("shard", "doc_id", "text")
+    dealt = docs.withColumn("shard", shard_of("doc_id")).repartitionById(shards, "shard").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie").select("shard", "doc_id", "text")
     manifest = staged(dealt.mapInArrow(run, "shard int, name string, n_tokens long, n_docs long"), "manifest")
     # One row a shard: `most_shards` rows at most meet in this window.
     return manifest.selectExpr("*", "coalesce(sum(n_tokens) over (order by shard rows between unbounded preceding and 1 preceding), 0) as start"), folder
