@@ -149,7 +149,8 @@ def concentrate(rows, share: float, limit: int | None = None) -> dict:
     n = rows["n"].cumsum().to_numpy()
     fitted = int(n[-1])
     last = int(np.searchsorted(n, math.ceil(share * fitted))) if limit is None else max(0, int(np.searchsorted(rows["bin"].to_numpy(), limit)) - 1)
-    inner = rows.iloc[: last + 1][_MOMENTS].astype(object).sum()
+    # Python's integers: sums over bins may leave 64 bits.
+    inner = dict(zip(_MOMENTS, rows[_MOMENTS].to_numpy(dtype=object)[: last + 1].sum(axis=0)))
     s, ss = _sums(inner)
     used = int(inner["n"])
     factor = consistency(used / fitted) if limit is None else consistency(0.975)
