@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import mathx, text
-from tallymark.operators import history, pairs, resolve, search, serving, stats
+from tallymark.operators import catalogue, history, pairs, resolve, search, serving, stats
 from tallymark.plans import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,6 +575,31 @@ def sliding_count(spark, d):
     return v.views(spark, d).select("event_id", F.count("*").over(w).alias("n"))
 
 
+# -- catalogue -----------------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT key, id, name, brand, type, id % 90 AS store_slug, 100.0::DOUBLE + size AS price, size > 5 AS in_stock FROM listings WHERE key <> ''),
+t AS (SELECT key, type, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(id), type) AS k FROM l GROUP BY key, type),
+g AS (SELECT key, count(*) AS offer_count, arg_min(name, (length(name), id)) AS name, arg_min(brand, id) AS brand, min(price) AS all_lo, max(price) AS all_hi, count(DISTINCT store_slug) AS all_s, min(price) FILTER (in_stock) AS lo, max(price) FILTER (in_stock) AS hi, count(DISTINCT store_slug) FILTER (in_stock) AS s FROM l GROUP BY 1)
+SELECT g.key, replace(g.key, ' ', '-') AS slug, name, brand, t.type, offer_count, coalesce(lo, all_lo) AS min_price, coalesce(hi, all_hi) AS max_price, CASE WHEN lo IS NULL THEN all_s ELSE s END AS store_count FROM g JOIN t ON g.key = t.key AND k = 1""")
+def build_groups(spark, d):
+    rows = v.listings(spark, d).withColumns({"ord": F.col("id"), "store_slug": F.col("id") % 90, "price": 100.0 + F.col("size"), "in_stock": F.col("size") > 5, "is_collector": F.lit(False), "region": F.lit(None).cast("string"), "image_url": F.lit(None).cast("string")})
+    return catalogue.build_groups(rows).select("key", "slug", "name", "brand", "type", "offer_count", "min_price", "max_price", "store_count")
+
+
+@query("SELECT host, count(*) AS n FROM (SELECT CASE WHEN ends_with(h, '.example.com') THEN '*.example.com' ELSE h END AS host FROM (SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS h FROM pages)) GROUP BY 1")
+def image_hosts(spark, d):
+    return catalogue.image_hosts(v.read(spark, d, "pages"), "url", ["example.com"])
+
+
+@query("""WITH k AS (SELECT DISTINCT lower(replace(brand, '#', ' ')) AS brand_key FROM products WHERE size > 49)
+SELECT lower(replace(brand, '#', ' ')) AS brand_key, count(*) AS n FROM products WHERE region IS DISTINCT FROM 'ASIA' AND lower(replace(brand, '#', ' ')) NOT IN (SELECT brand_key FROM k) GROUP BY 1 HAVING count(*) >= 5""")
+def region_candidates(spark, d):
+    p = v.products(spark, d)
+    known = p.where("size > 49").select(text.brand_alias_key(F.col("brand")).alias("brand_key")).distinct()
+    return catalogue.region_candidates(p.where("region is distinct from 'ASIA'").withColumn("region", F.lit(None).cast("string")), known)
+
+
 # -- without an SQL twin -------------------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import mathx, text
-from tallymark.operators import graph, history, pairs, resolve, search, serving, stats
+from tallymark.operators import catalogue, graph, history, pairs, resolve, search, serving, stats
 from tallymark.sources import payloads
 from tallymark.streaming import limiter, pageviews
 
@@ -170,3 +170,25 @@ def test_sitemap_xml(spark):
 
 def test_optional_source(spark, tmp_path):
     assert payloads.read_optional(spark, str(tmp_path / "none.json"), "a int").count() == 0
+
+
+def test_catalogue_columns(spark):
+    key = catalogue.secondary_key(F.col("s"), ["vino"], ["casa", "alta"], ["mendoza"])
+    assert one(spark, key, s="Vino Casa Alta Gran Malbec Mendoza") == "gran malbec"
+    rest = catalogue.suffix_tokens(F.col("n"), F.col("l"), F.col("v"), ["vino"])
+    assert one(spark, rest, n="Vino Gran Alta Malbec Roble 2019", l="Gran Alta", v=["Malbec"]) == ["roble"]
+    rows = spark.createDataFrame([(1, "Alta Vista x", "BODEGA Alta"), (2, "y", "Malbec")], "id long, name string, brand string")
+    mapped = catalogue.map_brand(rows, spark.createDataFrame([("alta", "Alta Vista", 1), ("Alta", "Other", 2)], "from string, to string, ord int"))
+    assert {r.id: r.brand for r in catalogue.drop_bad_brands(mapped, spark.createDataFrame([("malbec",)], ["brand"])).collect()} == {1: "Alta Vista", 2: None}
+    assert {r.id: r.label for r in catalogue.detect_label(rows, spark.createDataFrame([("Alta",), ("Alta Vista",)], ["label"])).collect()} == {1: "Alta Vista", 2: None}
+    scores = spark.createDataFrame([("a", "X", 18.0, 20.0), ("a", "Y", 95.0, 100.0), ("_note", "Z", 1.0, 1.0)], "slug string, critic string, score double, max_score double")
+    assert [tuple(r) for r in catalogue.best_scores(scores).collect()] == [("a", 95.0, 92.5, "X, Y")]
+    assert one(spark, catalogue.questions(F.col("p"), F.col("s"), F.lit(None).cast("string"), F.array().cast("array<string>")), p=10.0, s=2) == ["price: 10", "stores: 2"]
+
+
+def test_perceptual_hash(spark):
+    rng = random.Random(1)
+    image = [float(rng.randrange(256)) for _ in range(1024)]
+    d = spark.createDataFrame([(image,), ([x + 9 for x in image],), ([1.0],), (None,)], "p array<double>")
+    a, b, c, e = (r.h for r in d.select(catalogue.perceptual_hash("p").alias("h")).collect())
+    assert len(a) == 64 and a == b and c is None and e is None
