@@ -223,7 +223,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         states = _step(rows, states, SHARE)
     best = states.groupBy("key").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
-    states = states.join(best, ["key", "start"])
+    states = staged(states.join(best, ["key", "start"]), "mcd")  # of known size, so that no row is dealt by group
     return _step(rows, states, SHARE, limit=_bin_of(quantile(0.975, P)))
 
 
@@ -234,7 +234,7 @@ def quality(documents: DataFrame, cutoff: float = QUANTILE) -> DataFrame:
     names = [f"x{i}" for i in range(P)]
     passed = rows.where("not base_failed")
     fit = passed.select(F.explode(F.array("own", "pool")).alias("key"), *names)
-    found = estimates(fit).where(F.col("fitted") >= LEAST)
+    found = staged(estimates(fit).where(F.col("fitted") >= LEAST), "mcd")
     # A document's judge: its group's estimate, else its language's.
     slim = found.drop("start", "det", "fitted")
     renamed = lambda side: slim.withColumnsRenamed({c: f"{side}_{c}" for c in slim.columns})
