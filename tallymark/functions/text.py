@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import html
+import re
 import unicodedata
 from collections.abc import Iterable, Sequence
 
@@ -17,6 +17,28 @@ _PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYYNC"
 #: Word edge by ASCII letters, so that `rosé` ends at `s`.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
+# Volumes that need no unit, named references, and patterns of pack words, slugs and images that stand for nothing.
+BARE_VOLUMES = ["187", "250", "375", "500", "1000", "1500", "3000", "5000"]
+PACK_WORDS = "caja|pack|box|estuche"
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+JUNK_SLUGS = r"(?i)^(?:atributo|categoria|sin|alcohol|coleccion|color|tipo|cuerpo|grado|temperatura|variedad|filtro|estilo|crianza|cepa)-|-(?:atributo|categoria)-|^[0-9]+$"
+PLACEHOLDERS = [
+    r"/no-?photo\b",
+    r"/no-?image\b",
+    r"/placeholder",
+    r"/default[-_]?(big|image|photo|thumb)?\.(jpg|jpeg|png|webp|gif)$",
+    r"/blank\.(jpg|jpeg|png|webp|gif)$",
+    r"/woocommerce-placeholder",
+    r"/captura-de-pantalla",
+    r"/screenshot[-_]",
+    r"/(gift[-_]?card|gcv-|tarjeta[-_]?regalo)",
+]
+
+
+def edged(pattern: str) -> str:
+    r"""The pattern with `\b` as an edge of ASCII words."""
+    return pattern.replace(r"\b", EDGE)
+
 
 def strip_accents(x: Column) -> Column:
     return F.translate(x, _MARKED, _PLAIN)
@@ -30,8 +52,20 @@ def strip_accents_full(x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def decode_entities(x: pd.Series) -> pd.Series:
-    """Numeric and named HTML references; unknown ones stay."""
-    return x.map(lambda s: None if s is None else html.unescape(s) if "&" in s else s)
+    """Decimal, then hexadecimal references (16 bits), then the six names of `ENTITIES`; unknown ones stay."""
+    rounds = [
+        (re.compile(r"&#([0-9]+);"), lambda m: chr(int(m[1]) & 0xFFFF)),
+        (re.compile(r"&#x([0-9a-fA-F]+);"), lambda m: chr(int(m[1], 16) & 0xFFFF)),
+        (re.compile(r"&([A-Za-z]+);"), lambda m: ENTITIES.get(m[1].lower(), m[0])),
+    ]
+
+    def plain(s: str) -> str:
+        for pattern, char in rounds:
+            s = pattern.sub(char, s)
+        # Two halves of a pair become one character; a half alone cannot be stored.
+        return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+    return x.map(lambda s: None if s is None else plain(s) if "&" in s else s)
 
 
 def squeeze(x: Column) -> Column:
@@ -78,24 +112,27 @@ def extract_vintage(x: Column) -> Column:
 
 
 def extract_format(x: Column) -> Column:
-    """Pack, size and volume marks, sorted and joined by `-`; null for a plain bottle."""
-    low = F.lower(strip_accents(x))
-    ml = F.regexp_extract(low, r"([0-9]{2,4})\s*(?:ml|cc|cm3|cm³)(?![a-z])", 1)
-    litres = F.regexp_extract(low, r"(?<![0-9.,])([0-9]{1,2}(?:[.,][0-9])?)\s*(?:lts?|litros?|l)(?![a-z0-9])", 1)
-    count = F.regexp_extract(low, r"(?<![a-z0-9])x\s*([0-9]{1,4})(?![0-9a-z])", 1)
-    bare = F.regexp_extract(low, r"(?<![0-9a-z])(187|375|1125|1500|3000)(?![0-9a-z])", 1)
-    pack = low.rlike(r"(?<![a-z])(?:pack|caja|cajas|estuche)(?![a-z])")
-    volumes = ["187", "375", "750", "1125", "1500", "3000"]
+    """Pack, count, size and volume marks, sorted and joined by `-`; null for a plain bottle.
+
+    A count that is a volume (`x 375`) is one, unless a volume with a unit stands beside it.
+    """
+    low = F.lower(x)
+    first = lambda pattern: F.regexp_extract(low, pattern, 1)
+    pack = first(rf"{EDGE}({PACK_WORDS}){EDGE}")
+    count = first(rf"{EDGE}x\s*([0-9]+){EDGE}")
+    litres = first(rf"{EDGE}([0-9]+(?:[.,][0-9]+)?)\s*l{EDGE}")
+    ml = first(rf"{EDGE}([0-9]{{3,4}})\s*(?:ml|cc|cm3|cm³)(?=\s|$|[^a-z0-9])")
+    bare = first(rf"{EDGE}(?:x\s*)?({'|'.join(BARE_VOLUMES)})(?=\s|$|[^a-z0-9.,])")
     parts = F.array(
-        F.when(pack, F.lit("pack")),
-        F.when((count != "") & ~count.isin(volumes), F.concat(F.lit("x"), count)),
-        F.when(low.rlike(r"(?<![a-z])magnum(?![a-z])"), F.lit("magnum")),
-        F.when(low.rlike(r"(?<![a-z])(?:media|half)(?![a-z])"), F.lit("half")),
+        F.nullif(pack, F.lit("")),
+        F.when((count != "") & ~(count.isin(BARE_VOLUMES) & (ml == "")), F.concat(F.lit("x"), count)),
+        F.when(low.rlike(rf"{EDGE}magnum{EDGE}"), F.lit("magnum")),
+        F.when(low.rlike(rf"{EDGE}(?:media|half){EDGE}"), F.lit("half")),
         F.when(litres != "", F.concat(F.replace(litres, F.lit(","), F.lit(".")), F.lit("l"))),
         F.when((ml != "") & (ml != "750"), F.concat(ml, F.lit("ml"))),
         F.when((ml == "") & (bare != ""), F.concat(bare, F.lit("ml"))),
     )
-    return F.nullif(F.array_join(F.array_sort(F.array_distinct(F.array_compact(parts))), "-"), F.lit(""))
+    return F.nullif(F.array_join(F.array_sort(F.array_compact(parts)), "-"), F.lit(""))
 
 
 def tokens(x: Column, noise: Sequence[str] = ()) -> Column:
@@ -111,7 +148,7 @@ def token_key(*columns: Column, noise: Sequence[str] = ()) -> Column:
 
 
 def group_slug(key: Column, longest: int = 80) -> Column:
-    return F.regexp_replace(F.substring(F.regexp_replace(key, r"\s+", "-"), 1, longest), "-+", "-")
+    return F.regexp_replace(F.regexp_replace(F.substring(F.regexp_replace(key, r"\s+", "-"), 1, longest), "-+", "-"), "^-|-$", "")
 
 
 def first_matches(x: Column, rules: Sequence[tuple[str, str]], most: int) -> Column:
@@ -160,7 +197,8 @@ def split_versus(x: Column) -> tuple[Column, Column]:
 
 
 def is_junk_slug(x: Column) -> Column:
-    return x.rlike(r"^[0-9]+$|^(?:color|talle|precio|marca)-|-(?:filtro|orden)-")
+    """Slugs of shop facets and bare numbers."""
+    return x.rlike(JUNK_SLUGS)
 
 
 def peel(words: Column, noise: Sequence[str], most: int) -> Column:
@@ -180,11 +218,11 @@ def host(x: Column) -> Column:
     return F.coalesce(F.try_parse_url(x, F.lit("HOST")), x)
 
 
-def normalize_image_url(x: Column, placeholders: Sequence[str] = ("placeholder", "no-image", "sin-imagen", "default")) -> Column:
+def normalize_image_url(x: Column, placeholders: Sequence[str] = PLACEHOLDERS) -> Column:
     """Without query, fragment and size suffix, CDN shards folded; null for placeholders."""
     bare = F.regexp_replace(F.trim(x), r"[?#].*$", "")
-    folded = F.regexp_replace(F.regexp_replace(bare, r"://[ad]cdn-us\.", "://cdn-us."), r"-[0-9]+-[0-9]+(\.[A-Za-z]+)$", "$1")
-    return F.when(x.isNull() | (F.trim(x) == "") | F.lower(x).rlike("|".join(placeholders)), None).otherwise(folded)
+    folded = F.regexp_replace(F.regexp_replace(bare, r"://[ad]cdn-us\.", "://cdn-us."), r"-[0-9]+-[0-9]+(\.[a-z]+)$", "$1")
+    return F.when(x.isNull() | (F.trim(x) == "") | x.rlike("(?i)" + edged("|".join(placeholders))), None).otherwise(folded)
 
 
 def utc_day(ms: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import EDGE, squeeze, strip_accents
+from tallymark.functions.wine import is_wine
 
 SORTS = ("relevance", "price-asc", "price-desc", "stores-desc", "name-asc", "score-desc")
 
@@ -89,11 +90,11 @@ def search(groups: DataFrame, query: str = "", sort: str | None = None, limit: i
     return groups.where(filters(query, **options)).orderBy(*order_of(sort or ("relevance" if query else "price-asc"), query)).limit(limit)
 
 
-def top_deals(groups: DataFrame, limit: int = 6, least_price: float = 2000, not_wine: str | None = None) -> DataFrame:
-    """Groups of three stores or more that save 25 to 70 %, by whole percent, then stores."""
+def top_deals(groups: DataFrame, limit: int = 6, least_price: float = 2000) -> DataFrame:
+    """Wines of three stores or more that save 25 to 70 %, by whole percent, then stores."""
     saved = (F.col("max_price") - F.col("min_price")) / F.col("max_price")
     rows = groups.where((F.col("store_count") >= 3) & (F.col("min_price") >= least_price) & (F.col("max_price") > F.col("min_price")))
-    rows = rows.where(~F.col("name").rlike(not_wine)) if not_wine else rows
+    rows = rows.where(is_wine(F.col("name")))
     rows = rows.withColumn("savings", saved).where(F.col("savings").between(0.25, 0.7))
     return rows.orderBy(F.desc(F.floor(F.col("savings") * 100)), F.desc("store_count"), F.desc("savings"), "group_slug").limit(limit)
 
@@ -138,13 +139,13 @@ WINE_RANKINGS = [
     Ranking("vinos-bajo-5000", {"high": 5000}, "price", 30),
     Ranking("vinos-bajo-10000", {"high": 10000}, "price", 30),
     Ranking("top-espumantes", {"type": "Espumante"}),
-    Ranking("top-blends", {"blend": r"(?i)blend|corte"}),
+    Ranking("top-blends", {"blend": rf"(?i){EDGE}(?:blend|corte){EDGE}"}),
     Ranking("top-cabernet-sauvignon", {"varietal": "Cabernet Sauvignon"}),
     Ranking("top-bonardas", {"varietal": "Bonarda"}),
     Ranking("vinos-para-asado", {"type": "Tinto", "low": 5000, "high": 20000}),
     Ranking("vinos-para-regalar", {"low": 25000, "high": 80000}),
     Ranking("vinos-blancos-para-pescado", {"type": "Blanco"}),
-    Ranking("vinos-organicos", {"name": r"(?iu)org[aá]nic|biodin[aá]mic|natural"}),
+    Ranking("vinos-organicos", {"name": rf"(?iu)org[aá]nico|biodin[aá]mico|natural{EDGE}"}),
     Ranking("top-catena-zapata", {"brands": ["Catena Zapata", "Catena", "Bodega Catena Zapata"]}),
     Ranking("top-salentein", {"brands": ["Salentein"]}),
     Ranking("top-rutini", {"brands": ["Rutini", "Rutini Wines"]}),
@@ -157,9 +158,13 @@ WINE_RANKINGS = [
 ]
 
 
+#: Fixed value: names that no ranking lists.
+SPIRIT_NAMES = r"(?iu)jack daniels|fernet|cynar|aperol|smirnoff|gin |whisky|whisk[eí]|cerveza"
+
+
 def clean() -> Column:
     """What every ranking asks for: a brand, a price, a store and no spirits in the name."""
-    return (F.length("brand") >= 2) & (F.col("min_price") > 0) & (F.col("store_count") >= 1) & ~F.col("name").rlike(r"(?i)(?<![a-z])(?:gin|whisk[ey]+|vodka|ron|tequila|fernet)(?![a-z])")
+    return (F.length("brand") >= 2) & (F.col("min_price") > 0) & (F.col("store_count") >= 1) & ~F.coalesce(F.col("name").rlike(SPIRIT_NAMES), F.lit(False))
 
 
 def rankings(groups: DataFrame, registry: Sequence[Ranking]) -> DataFrame:

@@ -12,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CASE_WORDS = r"(?i)(?<![a-z])(?:estuche|cajas?|pack|gift\s*box|six\s*pack)(?![a-z])|(?<![a-z0-9])x\s*[2-9][0-9]*(?![a-z0-9])"
+from tallymark.functions.text import edged
+
+# Offers of several bottles, and brands that are no wine.
+CASE_WORDS = "(?iu)" + edged(r"\b(estuche|caja\b|cajas\b|caj[ìí]n|pack|gift\s*box|6\s*pack|six\s*pack|x\s*[2-9][0-9]*\b|x[2-9][0-9]*\b)")
+SPIRITS = r"(?i)smirnoff|absolut|glen|johnnie|chivas|jack\s+daniels|ballantine|jameson|bombay|gordon|tanqueray|beefeater|bacardi|captain\s+morgan|malibu|baileys|campari|aperol|fernet|martini|cinzano|red\s+bull"
 
 
 def priced() -> Column:
@@ -98,7 +102,7 @@ def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, r
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def top_brands(groups: DataFrame, offers: DataFrame, limit: int = 12, share: float = 0.4, banned: str = "(?i)smirnoff|absolut|vodka|fernet") -> DataFrame:
+def top_brands(groups: DataFrame, offers: DataFrame, limit: int = 12, share: float = 0.4, banned: str = SPIRITS) -> DataFrame:
     """Brands by stores, then offers: those whose offers mostly belong to groups with a varietal or a table type."""
     tagged = groups.where(F.col("brand").isNotNull() & (F.trim("brand") != "") & ~F.col("brand").rlike(banned))
     tagged = tagged.select("group_slug", F.lower(F.trim("brand")).alias("brand"), ((F.size("varietals") > 0) | F.col("type").isin("Tinto", "Blanco")).alias("good"))
@@ -108,8 +112,8 @@ def top_brands(groups: DataFrame, offers: DataFrame, limit: int = 12, share: flo
 
 
 def brand_pages(groups: DataFrame, offers: DataFrame, least: int = 3) -> DataFrame:
-    """One row a brand with at least `least` groups."""
-    base = groups.where(F.col("brand").isNotNull()).groupBy("brand").agg(F.count("*").alias("group_count"), F.sum("offer_count").alias("offer_count"), F.countDistinct("region").alias("regions"), F.max_by("name", F.struct(F.length("name"), "name")).alias("longest_name")).where(F.col("group_count") >= least)
+    """One row a brand with at least `least` groups; spirits have no page."""
+    base = groups.where(F.col("brand").isNotNull() & ~F.col("brand").rlike(SPIRITS)).groupBy("brand").agg(F.count("*").alias("group_count"), F.sum("offer_count").alias("offer_count"), F.countDistinct("region").alias("regions"), F.max_by("name", F.struct(F.length("name"), "name")).alias("longest_name")).where(F.col("group_count") >= least)
     stores = offers.join(groups.select("group_slug", "brand"), "group_slug").groupBy("brand").agg(F.countDistinct("store_slug").alias("store_count"))
     return base.join(stores, "brand")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.functions import mathx, text
+from tallymark.functions import mathx, text, wine
 from tallymark.operators import catalogue, history, pairs, resolve, search, serving, stats
 from tallymark.plans import views as v
 
@@ -600,6 +600,73 @@ def region_candidates(spark, d):
     return catalogue.region_candidates(p.where("region is distinct from 'ASIA'").withColumn("region", F.lit(None).cast("string")), known)
 
 
+# -- what a wine's name says ----------------------------------------------------------------------------------------------------------
+
+_SAID = [
+    "Malbec 2019", "Cabernet Sauvignon Franc x 6", "Torrontés Cafayate 750 ml", "Rosé Brut Nature 375 cc", "Tupungato Pinot Noir 1,5 l", "MAIPÚ Syrah x 375", "Cabernet Agrelo Caja", "Semillón Cosecha Tardía Media",
+    "Shiraz Merlot Bonarda Tannat 1999", "Luján de Cuyo Blanco Magnum", "Catena Zapata Malbec Mendoza", "San Juan Criolla 187", "Las Moras Espumante Extra Brut", "Ron Dorado 200 ml", "Gewürztraminer Río Negro 3000", "Cerveza Roja 473 ml pack",
+]
+_NAMED = f"SELECT p_partkey AS id, p_name || ' ' || {_SAID!r}[p_partkey % {len(_SAID)} + 1] AS name, CASE p_partkey % 5 WHEN 0 THEN 'Bodega Familia Zuccardi' WHEN 1 THEN 'Luigi Bosca' WHEN 2 THEN 'Bodegas El Esteco' WHEN 3 THEN p_brand END AS brand FROM part"
+
+
+def _named(spark, d):
+    p = v.read(spark, d, "part")
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("p_partkey") % len(_SAID) + 1).cast("int"))
+    n = F.col("p_partkey") % 5
+    brand = F.when(n == 0, "Bodega Familia Zuccardi").when(n == 1, "Luigi Bosca").when(n == 2, "Bodegas El Esteco").when(n == 3, F.col("p_brand"))
+    return p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", said).alias("name"), brand.alias("brand"))
+
+
+def _cases(rules: list[tuple[str, str]], on: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({on}, '(?i){p}') THEN '{label}'" for label, p in rules) + " END"
+
+
+_GRAPES = ", ".join(f"CASE WHEN regexp_matches(name, '(?i){p}') THEN '{label}' END" for label, p in wine.VARIETALS)
+
+
+@query(rf"""WITH n AS ({_NAMED}), g AS (SELECT *, [x FOR x IN [{_GRAPES}] IF x IS NOT NULL] AS all_grapes FROM n)
+SELECT id, array_to_string((CASE WHEN list_has_any(all_grapes, ['Cabernet Sauvignon', 'Cabernet Franc']) THEN list_filter(all_grapes, lambda x: x <> 'Cabernet') ELSE all_grapes END)[1:3], ', ') AS varietals,
+ {_cases(wine.REGIONS, "name || ' ' || coalesce(brand, '')")} AS region, {_cases(wine.TYPES, "name")} AS type, nullif(regexp_extract(name, '\b(19\d\d|20[0-2]\d)\b', 1), '')::INTEGER AS vintage FROM g""")
+def wine_attributes(spark, d):
+    name = F.col("name")
+    return _named(spark, d).select("id", F.array_join(wine.varietals(name), ", ").alias("varietals"), wine.region(name, F.col("brand")).alias("region"), wine.kind(name).alias("type"), text.extract_vintage(name).alias("vintage"))
+
+
+_ANY_VOLUME = "|".join(text.BARE_VOLUMES)
+
+
+@query(rf"""WITH n AS ({_NAMED}), e AS (SELECT id, regexp_extract(l, '\b({text.PACK_WORDS})\b', 1) AS pack, regexp_extract(l, '\bx\s*(\d+)\b', 1) AS cnt, l LIKE '%magnum%' AS magnum, regexp_matches(l, '\b(media|half)\b') AS half,
+ replace(regexp_extract(l, '\b(\d+([.,]\d+)?)\s*l\b', 1), ',', '.') AS litres, regexp_extract(l, '\b(\d{{3,4}})\s*(ml|cc|cm3|cm³)(\s|$|[^a-z0-9])', 1) AS ml, regexp_extract(l, '\b(x\s*)?({_ANY_VOLUME})(\s|$|[^a-z0-9.,])', 2) AS bare FROM (SELECT id, lower(name) AS l FROM n))
+SELECT id, nullif(array_to_string(list_sort([x FOR x IN [nullif(pack, ''), CASE WHEN cnt <> '' AND NOT (ml = '' AND cnt IN ('{_ANY_VOLUME.replace("|", "', '")}')) THEN 'x' || cnt END, CASE WHEN magnum THEN 'magnum' END, CASE WHEN half THEN 'half' END,
+ CASE WHEN litres <> '' THEN litres || 'l' END, CASE WHEN ml NOT IN ('', '750') THEN ml || 'ml' END, CASE WHEN ml = '' AND bare <> '' THEN bare || 'ml' END] IF x IS NOT NULL]), '-'), '') AS format FROM e""")
+def wine_formats(spark, d):
+    return _named(spark, d).select("id", text.extract_format(F.col("name")).alias("format"))
+
+
+_NOISE = "'" + "', '".join(wine.NOISE) + "'"
+_ALIASED = "c"
+for _said, _meant in wine.ALIASES:
+    _ALIASED = rf"regexp_replace({_ALIASED}, '\b{_said}\b', '{_meant}', 'g')"
+
+
+@query(rf"""WITH n AS ({_NAMED}), s AS (SELECT id, brand, strip_accents(lower(name)) AS s FROM n), p AS (SELECT id, brand, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,
+ '\b(19\d\d|20[0-2]\d)\b', ' ', 'g'), '\b\d+\s*(ml|cc|cm3|cm³)(\s|$|[^a-z0-9])', ' ', 'g'), '\b\d+([.,]\d+)?\s*l\b', ' ', 'g'), '\b(x\s*)?({_ANY_VOLUME})(\s|$|[^a-z0-9.,])', ' ', 'g'), '\bx\s*\d+\b', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g') AS s FROM s),
+w AS (SELECT id, [t FOR t IN string_split_regex(s, '\s+') IF length(t) > 1 AND t NOT IN ({_NOISE})] AS own,
+ trim(regexp_replace(regexp_replace(lower(brand), '^bodegas?\s+', ''), '[^a-z0-9\s]', ' ', 'g')) AS b FROM p),
+h AS (SELECT id, own, [t FOR t IN string_split(coalesce(CASE b {" ".join(f"WHEN '{x}' THEN '{y}'" for x, y in wine.ALIASES)} ELSE b END, ''), ' ') IF t <> '' AND t NOT IN ({_NOISE}) AND NOT list_contains(own, t)] AS house FROM w)
+SELECT id, array_to_string(list_sort(string_split({_ALIASED}, ' ')), ' ') AS key FROM (SELECT id, array_to_string(list_concat(own, house), ' ') AS c FROM h)""")
+def wine_keys(spark, d):
+    return _named(spark, d).select("id", wine.canonical_key(F.col("name"), F.col("brand")).alias("key"))
+
+
+_NOT_WINE = wine.NOT_WINE.replace(r"(?!\s+(de\s+)?(la|los|las))", "")  # no name here needs the look-ahead
+
+
+@query(rf"""WITH n AS ({_NAMED}) SELECT id, NOT (regexp_matches(name, '(?i){_NOT_WINE}') OR regexp_matches(name, '(?i){wine.NOT_WINE_SIZE}')) AS is_wine FROM n""")
+def wine_or_not(spark, d):
+    return _named(spark, d).select("id", wine.is_wine(F.col("name")).alias("is_wine"))
+
+
 # -- without an SQL twin -------------------------------------------------------------------------------------------------------------
 
 

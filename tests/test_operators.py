@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.functions import mathx, text
+from tallymark.functions import mathx, text, wine
 from tallymark.operators import catalogue, graph, history, pairs, resolve, search, serving, stats
 from tallymark.sources import payloads
 from tallymark.streaming import limiter, pageviews
@@ -18,7 +18,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     "said, want",
-    [("Malbec 750 ml", None), ("Malbec x 6", "x6"), ("Malbec Magnum", "magnum"), ("Pack Malbec 375 cc", "375ml-pack"), ("Malbec 1,5 lt", "1.5l"), ("Malbec x 750", None), ("Malbec 375", "375ml")],
+    [("Malbec 750 ml", None), ("Malbec x 6", "x6"), ("Malbec Magnum", "magnum"), ("Pack Malbec 375 cc", "375ml-pack"), ("Malbec 1,5 l", "1.5l"), ("Malbec x 750", "x750"), ("Malbec 375", "375ml"), ("Malbec x 375", "375ml"), ("Caja x 375 de 750 ml", "caja-x375"), ("Box 375cm³", "375ml-box"), ("", None)],
 )
 def test_format(spark, said, want):
     assert one(spark, text.extract_format(F.col("s")), s=said) == want
@@ -42,6 +42,33 @@ def test_scalars(spark):
     assert one(spark, F.col("s").rlike(text.EDGE + "ros" + text.EDGE), s="vino rosé")
 
 
+@pytest.mark.parametrize("slug, junk", [("tipo-tinto", True), ("malbec-categoria-a", True), ("1888", True), ("precio-bajo", False), ("malbec", False)])
+def test_junk_slugs(spark, slug, junk):
+    assert one(spark, text.is_junk_slug(F.col("s")), s=slug) is junk
+
+
+def test_wine_names(spark):
+    said = lambda f, s, b="": one(spark, f(F.col("s"), F.col("b")), s=s, b=b)
+    assert said(lambda s, b: wine.varietals(s), "Cabernet Franc Cabernet Malbec Merlot Syrah") == ["Malbec", "Cabernet Franc", "Merlot"]
+    assert said(lambda s, b: wine.varietals(s), "CABERNET reserva") == ["Cabernet"]
+    assert said(wine.region, "Tinto de Agrelo", "x") == "Luján de Cuyo"
+    assert said(lambda s, b: wine.region(s, b, F.lit("Salta")), "Tinto", "x") == "Salta"
+    assert said(lambda s, b: wine.region(s, b), "Maipú", "x") is None  # the mark is no ASCII word character, so no edge follows it
+    assert said(lambda s, b: wine.kind(s), "Malbec Extra Brut") == "Espumante"
+    assert said(lambda s, b: wine.colour(s), "Rosado joven") == "rose"
+    assert said(lambda s, b: wine.colour(s), "Cosecha  Tardía") == "dulce"
+    assert said(lambda s, b: wine.colour(s), "Malbec") is None
+    assert said(wine.canonical_key, "Zuccardi Emma Bonarda 2012 x 375", "Bodega Zuccardi") == said(wine.canonical_key, "Emma BONARDA Zuccardi 2014 750cc", "Familia Zuccardi") == "bonarda emma zuccardi"
+    assert said(wine.canonical_key, "Zucardi Emma", "Zuccardi") == "emma zuccardi zuccardi"  # aliases come last; repeats stay
+    assert said(wine.canonical_key, "2014 x 6", "") == ""
+    nothing = F.lit(None).cast("string")
+    empty = said(lambda s, b: F.struct(wine.canonical_key(nothing, nothing), text.extract_format(nothing), wine.region(nothing, nothing), wine.kind(nothing), wine.colour(nothing), F.size(wine.varietals(nothing)), wine.is_wine(nothing)), "")
+    assert list(empty) == ["", None, None, None, None, 0, True]
+    assert [said(lambda s, b: wine.is_wine(s), s) for s in ("Malbec", "Ron de la casa", "Ron dorado", "Gin 500", "Malbec 200 ml", "")] == [True, True, False, False, False, True]
+    assert one(spark, text.decode_entities("s"), s="&#38;amp; &eacute; &NBSP;x &lt") == "& &eacute;  x &lt"
+    assert one(spark, text.normalize_image_url(F.col("s")), s="https://x.com/img/no-photo.png") is None
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     for n, m in ((30, 20), (60, 80), (40, 39)):
