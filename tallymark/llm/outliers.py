@@ -35,6 +35,8 @@ P, ONE = 5, 4096
 #: The least standard deviation of each coordinate, in its own units.
 FLOOR = (0.35, 0.06, 0.5, 0.5, 0.5)
 BINS = 1024
+#: Files of a table of states, which has a row per group and start.
+FILES = 4
 
 
 def counts(text: str) -> tuple[int, int, int, int, int]:
@@ -174,6 +176,11 @@ def _bin_of(d2: float) -> int:
     return min(int(math.log1p(d2) * 128), BINS - 1)
 
 
+def _kept(states: DataFrame) -> DataFrame:
+    """The states in a few files: spread over a file a task, their footers outweigh them, and joins would take them for large and deal the rows by group."""
+    return staged(states.repartition(FILES), "mcd")
+
+
 def _step(rows: DataFrame, states: DataFrame, share: float, limit: int | None = None) -> DataFrame:
     sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS]]
     binned = rows.join(states, "key").withColumn("bin", _bin(distance()))
@@ -184,7 +191,7 @@ def _step(rows: DataFrame, states: DataFrame, share: float, limit: int | None =
 
         return pd.DataFrame([concentrate(pdf, share, limit)])
 
-    return staged(moments.groupBy("key", "start").applyInPandas(solve, _STATE), "mcd")
+    return _kept(moments.groupBy("key", "start").applyInPandas(solve, _STATE))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -214,7 +221,7 @@ def _starts(rows: DataFrame) -> DataFrame:
         w = {f"w{i}{j}": 1 / var[i] if i == j else 0.0 for i, j in _PAIRS}
         return pd.DataFrame([{"key": pdf["key"].iloc[0], "start": 1, "fitted": fitted, "det": float(np.log(var).sum())} | out | w])
 
-    return staged(whole.groupBy("key").applyInPandas(first, _STATE).unionByName(cells.groupBy("key").applyInPandas(second, _STATE)), "mcd")
+    return _kept(whole.groupBy("key").applyInPandas(first, _STATE).unionByName(cells.groupBy("key").applyInPandas(second, _STATE)))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -223,7 +230,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         states = _step(rows, states, SHARE)
     best = states.groupBy("key").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
-    states = staged(states.join(best, ["key", "start"]), "mcd")  # of known size, so that no row is dealt by group
+    states = _kept(states.join(best, ["key", "start"]))
     return _step(rows, states, SHARE, limit=_bin_of(quantile(0.975, P)))
 
 
@@ -234,7 +241,7 @@ def quality(documents: DataFrame, cutoff: float = QUANTILE) -> DataFrame:
     names = [f"x{i}" for i in range(P)]
     passed = rows.where("not base_failed")
     fit = passed.select(F.explode(F.array("own", "pool")).alias("key"), *names)
-    found = staged(estimates(fit).where(F.col("fitted") >= LEAST), "mcd")
+    found = _kept(estimates(fit).where(F.col("fitted") >= LEAST))
     # A document's judge: its group's estimate, else its language's.
     slim = found.drop("start", "det", "fitted")
     renamed = lambda side: slim.withColumnsRenamed({c: f"{side}_{c}" for c in slim.columns})
