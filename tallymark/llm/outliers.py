@@ -30,7 +30,7 @@ from tallymark.session import staged
 from .base import SPACES, pick, text_slices, texts_of
 
 SYMBOLS = "#*$%&|<>"
-SHARE, LEAST, STEPS, QUANTILE = 0.75, 200, 4, 1 - 1e-7
+SHARE, LEAST, STEPS, QUANTILE = 0.75, 200, 4, 0.9995
 P, ONE = 5, 4096
 #: The least standard deviation of each coordinate, in its own units.
 FLOOR = (0.35, 0.06, 0.5, 0.5, 0.5)

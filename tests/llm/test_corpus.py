@@ -96,6 +96,18 @@ def test_mcd_against_numpy(spark):
     assert abs(outliers.chi_square(11.0705, 5) - 0.95) < 1e-4
 
 
+def long_words(rng, n, end=""):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 9))) + end for _ in range(n))
+
+
+def test_symbol_junk_is_rejected(spark):
+    """Texts with a symbol after every word, about an eighth of their characters, go; the clean ones stay."""
+    rng = random.Random(11)
+    rows = [(k, long_words(rng, rng.randint(60, 300), "|" * (k >= 400)), "en", "s") for k in range(420)]
+    got = {r.doc_id: r.kept for r in outliers.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [k for k, kept in got.items() if kept != (k < 400)] == []
+
+
 # -- 2, 8 ----------------------------------------------------------------------------------------------------------------
 
 
