@@ -1,12 +1,12 @@
 """Line dedup by winnowing: later copies of repeated runs of lines are deleted.
 
-A document is the sequence of its `\\n`-split lines that hold a word. A *gram* is the shortest run of lines from a given one
-that holds `MIN_WORDS` words. Of every `WINDOW` neighbouring grams the one of least hash is a fingerprint, and so is
-every gram of a single line; hence two documents that share `MIN_WORDS` words and `WINDOW` - 1 further lines, or one line
-that long, share a fingerprint. Each later occurrence is laid against the first one in the corpus, by (doc_id, place),
-and extended line by line both ways over equal lines, `REACH` lines at most: a longer run has a fingerprint
-of its own within that reach, so runs of any length are deleted whole. A first occurrence is never deleted
-by its own fingerprint, so one copy of each line stays.
+A document is the sequence of its `\\n`-split lines that hold a word. A *gram* is the shortest run of lines that holds `MIN_WORDS` words
+and begins, or ends, at a given one. Every gram is a fingerprint (winnowing with a window of one: a gram that a wider window leaves out can be
+the only one that holds a line), and each occurrence but the first one in the corpus, by (doc_id, place), is deleted.
+
+This deletes just the lines of later copies of runs of `MIN_WORDS` words or more, whichever earlier document holds the run: take a
+line of such a run. If the run holds `MIN_WORDS` words up to and with this line, the gram that ends here is in the run; if not, the gram that begins
+where the run begins goes beyond this line and is in the run. The first occurrence of a line stays, since no gram that holds it occurred before.
 
 Edge cases: a null or empty text has no lines. White-space lines take part in nothing and go only inside a deleted run.
 Within one document the first run stays. Rows equal in doc_id and text are the same document and get the same answer; a null doc_id sorts
@@ -27,29 +27,31 @@ from tallymark.session import staged
 from .base import pick, text_slices, texts_of
 
 MIN_WORDS = 25
-WINDOW = 2
-REACH = 8
 
 
 def fingerprints(hashes: list[int], words: list[int]) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, digest) of each selected gram."""
+    """(first line, lines, digest) of every gram, once each."""
     from xxhash import xxh3_128_digest
 
     raw, n = np.array(hashes, np.uint64).tobytes(), len(hashes)
-    grams, end, total = [], 0, 0
+    spans, end, total = set(), 0, 0
     for i in range(n):
         while end < n and total < MIN_WORDS:
             total += words[end]
             end += 1
         if total < MIN_WORDS:
             break
-        grams.append((xxh3_128_digest(raw[8 * i : 8 * end]), end - i))
+        spans.add((i, end))
         total -= words[i]
-    picked = {i for i, g in enumerate(grams) if g[1] == 1}
-    for i in range(max(1, len(grams) - WINDOW + 1) if grams else 0):
-        window = range(i, min(i + WINDOW, len(grams)))
-        picked.add(min(window, key=lambda k: (grams[k][0], -k)))
-    return [(i, grams[i][1], grams[i][0]) for i in sorted(picked)]
+    start = total = 0
+    for i in range(n):
+        total += words[i]
+        while total - words[start] >= MIN_WORDS:
+            total -= words[start]
+            start += 1
+        if total >= MIN_WORDS:
+            spans.add((start, i + 1))
+    return [(i, end - i, xxh3_128_digest(raw[8 * i : 8 * end])) for i, end in sorted(spans)]
 
 
 def parse(text: str) -> tuple[list[int], list[int]]:
@@ -65,35 +67,21 @@ def parse(text: str) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
-def extend(own: list[int], at: int, other: list[int], other_at: int, lines: int) -> tuple[int, int]:
-    """How far the match of `lines` lines at `at` and `other_at` reaches: lines before it, lines after it."""
-    before = after = 0
-    while at - before > 0 and other_at - before > 0 and own[at - before - 1] == other[other_at - before - 1]:
-        before += 1
-    at, other_at = at + lines, other_at + lines
-    while at + after < len(own) and other_at + after < len(other) and own[at + after] == other[other_at + after]:
-        after += 1
-    return before, after
-
-
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _prints(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
-        signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
         for batch in text_slices(batches):
-            hashes, prints = [], []
+            prints = []
             for text in texts_of(batch):
-                h, w = parse(text)
-                hashes.append(signed(h))
-                prints.append([{"pos": i, "n": n, "f1": int.from_bytes(d[:8], "little", signed=True), "f2": int.from_bytes(d[8:], "little", signed=True)} for i, n, d in fingerprints(h, w)])
+                prints.append([{"pos": i, "n": n, "f1": int.from_bytes(d[:8], "little", signed=True), "f2": int.from_bytes(d[8:], "little", signed=True)} for i, n, d in fingerprints(*parse(text))])
             kind = pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, kind)], ["doc_id", "tkey", "hashes", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(prints, kind)], ["doc_id", "tkey", "prints"])
 
     rows = pick(documents, "doc_id", "text").withColumn("tkey", text_key(F.col("text")))
-    return rows.mapInArrow(run, "doc_id long, tkey long, hashes array<long>, prints array<struct<pos: int, n: int, f1: long, f2: long>>")
+    return rows.mapInArrow(run, "doc_id long, tkey long, prints array<struct<pos: int, n: int, f1: long, f2: long>>")
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
@@ -102,27 +90,7 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     own = F.struct("doc_id", "tkey", "pos")
     marks = prints.select("doc_id", "tkey", F.inline("prints")).withColumn("own", own)
     first = marks.groupBy("f1", "f2").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").drop("last")
-    later = marks.join(first, ["f1", "f2"]).where("own > first")
-    later = later.select("doc_id", "tkey", "pos", "n", *[F.col(f"first.{c}").alias(f"c_{c}") for c in ("doc_id", "tkey", "pos")])
-    # A stretch of REACH lines on either side of the match is all that is compared.
-    begin = lambda c: F.greatest(F.col(c) - REACH, F.lit(0))
-    stretch = lambda c: F.slice("hashes", begin(c) + 1, F.col(c) - begin(c) + F.col("n") + REACH)
-    texts = prints.where(F.size("prints") > 0).select("doc_id", "tkey", "hashes").dropDuplicates(["doc_id", "tkey"])
-    both = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    other = texts.select(F.col("doc_id").alias("o_doc_id"), F.col("tkey").alias("o_tkey"), "hashes")
-    later = later.join(other, both("c_doc_id", "o_doc_id") & both("c_tkey", "o_tkey")).select("doc_id", "tkey", "pos", "n", F.least(F.col("c_pos"), F.lit(REACH)).alias("c_at"), stretch("c_pos").alias("theirs"))
-    later = later.join(other, both("doc_id", "o_doc_id") & both("tkey", "o_tkey")).select("doc_id", "tkey", "pos", "n", "c_at", "theirs", F.least(F.col("pos"), F.lit(REACH)).alias("at"), stretch("pos").alias("ours"))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            starts, ends = [], []
-            for pos, n, c_at, theirs, at, ours in zip(*[b.column(c).to_pylist() for c in ("pos", "n", "c_at", "theirs", "at", "ours")]):
-                before, after = extend(ours, at, theirs, c_at, n)
-                starts.append(pos - before)
-                ends.append(pos + n + after)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "tkey", "first", "end"])
-
-    spans = later.mapInArrow(run, "doc_id long, tkey long, first int, end int")
+    spans = marks.join(first, ["f1", "f2"]).where("own > first").select("doc_id", "tkey", F.col("pos").alias("first"), (F.col("pos") + F.col("n")).alias("end"))
     return spans.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("runs"))
 
 

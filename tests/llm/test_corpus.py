@@ -191,6 +191,19 @@ def test_line_runs_within_and_across(spark):
     assert 2 not in got  # every line of it is in document 0
 
 
+def test_line_runs_with_short_tails(spark):
+    """Tails of many short lines go, and so does a run whose first line alone occurred before."""
+    rng = random.Random(12)
+    line = lambda n: prose(rng, n, 9**9)
+    menu = [line(40), *[line(1) for _ in range(20)]]
+    run = [line(30), *[line(6) for _ in range(4)]]
+    exact = [line(5) for _ in range(5)]
+    texts = [[*menu, "end of one"], ["other", *menu, "end of two"], [run[0], "alone"], [*run, "kept a"], [*run, "kept b"], [*exact, "here"], ["there", *exact]]
+    d = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], ["doc_id", "text"])
+    got = {r.doc_id: r.text.split("\n") for r in lines.drop_repeated_lines(d).collect()}
+    assert got == {0: texts[0], 1: ["other", "end of two"], 2: texts[2], 3: [*run[1:], "kept a"], 4: ["kept b"], 5: texts[5], 6: ["there"]}
+
+
 # -- 3, 5 ------------------------------------------------------------------------------------------------------------------
 
 
