@@ -10,7 +10,8 @@ agree. A concentration step is one pass that sums moments by (group, start, dist
 is shuffled. Two starts (all documents; medians and quartile ranges) are concentrated and the one of smaller determinant is
 reweighted. A variance floor keeps the scatter regular where a count is zero in most documents.
 
-A group of fewer than `LEAST` fitted documents is judged by its language as a whole; a language of fewer rejects nothing.
+A group of fewer than `LEAST` fitted documents is judged by its language as a whole, a language of fewer by the estimate over all
+documents, which needs no least number.
 Edge cases: a null or empty text has all counts 0 and fails the base. Null lang and null source are groups of their own. Repeated
 rows and ids are judged each for itself.
 """
@@ -235,19 +236,20 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 
 def quality(documents: DataFrame, cutoff: float = QUANTILE) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and distance (squared; null where no estimate judges) of each document."""
+    """doc_id, the counts, base_failed, kept and distance (squared; null where no document passes the base) of each document."""
     key = lambda pooled: F.to_json(F.struct("lang", *([] if pooled else ["source"]), F.lit(pooled).alias("pooled")))
-    rows = staged(measure(documents).select("*", key(False).alias("own"), key(True).alias("pool"), *_vector()), "quality")
+    rows = staged(measure(documents).select("*", key(False).alias("own"), key(True).alias("pool"), F.lit("all").alias("whole"), *_vector()), "quality")
     names = [f"x{i}" for i in range(P)]
     passed = rows.where("not base_failed")
-    fit = passed.select(F.explode(F.array("own", "pool")).alias("key"), *names)
-    found = _kept(estimates(fit).where(F.col("fitted") >= LEAST))
-    # A document's judge: its group's estimate, else its language's.
+    fit = passed.select(F.explode(F.array("own", "pool", "whole")).alias("key"), *names)
+    found = _kept(estimates(fit).where((F.col("fitted") >= LEAST) | (F.col("key") == "all")))
+    # A document's judge: its group's estimate, else its language's, else that of all documents, which is one row.
     slim = found.drop("start", "det", "fitted")
     renamed = lambda side: slim.withColumnsRenamed({c: f"{side}_{c}" for c in slim.columns})
     joined = rows.join(renamed("own"), F.col("own") == F.col("own_key"), "left").join(renamed("pool"), F.col("pool") == F.col("pool_key"), "left")
+    joined = joined.join(F.broadcast(renamed("whole").where("whole_key = 'all'")), F.col("whole") == F.col("whole_key"), "left")
     coordinates = [c for c in slim.columns if c != "key"]
-    pickd = joined.select(*rows.columns, *[F.when(F.col("own_key").isNotNull(), F.col(f"own_{c}")).otherwise(F.col(f"pool_{c}")).alias(c) for c in coordinates])
-    judged = pickd.withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= quantile(cutoff, P), F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    judge = lambda c: F.when(F.col("own_key").isNotNull(), F.col(f"own_{c}")).when(F.col("pool_key").isNotNull(), F.col(f"pool_{c}")).otherwise(F.col(f"whole_{c}"))
+    judged = joined.select(*rows.columns, *[judge(c).alias(c) for c in coordinates]).withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))
+    kept = ~F.col("base_failed") & (F.col("distance") <= quantile(cutoff, P))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "distance")

@@ -108,6 +108,15 @@ def test_symbol_junk_is_rejected(spark):
     assert [k for k, kept in got.items() if kept != (k < 400)] == []
 
 
+def test_rare_languages_are_judged(spark):
+    """With no group of LEAST documents, the estimate over all of them judges."""
+    rng = random.Random(13)
+    rows = [(k, long_words(rng, rng.randint(60, 300), "|||" * (k >= 100)), None if k % 2 else f"l{k % 5}", "s") for k in range(104)] + [(200, "short", "l1", "s")]
+    got = {r.doc_id: r for r in outliers.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert [k for k, r in got.items() if r.kept != (k < 100)] == []
+
+
 # -- 2, 8 ----------------------------------------------------------------------------------------------------------------
 
 
