@@ -407,8 +407,9 @@ def brute_components(rows):
 
 def test_near_duplicates_against_all_pairs(docs, empty, monkeypatch):
     want = sorted(brute_components(corpus()), key=str)
-    for block in (1024, 3):
+    for block, short in ((512, 32), (3, 1)):  # the second deals every open list into cells
         monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "SHORT", short)
         rows = near_dedup.near_duplicates(docs).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == want
         assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
@@ -418,6 +419,36 @@ def test_near_duplicates_against_all_pairs(docs, empty, monkeypatch):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def near_copies(seed=21):
+    """A base of which all copies lie near the threshold, a template with texts of its own, and two groups tied by one document."""
+    rng = random.Random(seed)
+    base, template = prose(rng, 60, 9**9).split(), prose(rng, 50, 9**9).split()
+    texts = [" ".join(base)]
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9**9)}"
+        texts.append(" ".join(w))
+    texts += [" ".join([*template, *prose(rng, rng.randint(8, 20), 9**9).split()]) for _ in range(60)]
+    one = prose(rng, 100, 9**9).split()
+    texts += [" ".join(one[k : k + 80]) for k in range(0, 20, 4)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    return [(k, texts[i]) for k, i in enumerate(order)] + [(3, texts[order[9]]), (3, texts[order[3]])]
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    rows = near_copies()
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(brute_components(rows), key=str)
+    assert len({c for _, _, c in want}) > 20
+    for block, short, hubs in ((512, 32, 12), (4, 2, 1)):
+        for name, value in (("BLOCK", block), ("SHORT", short), ("HUBS", hubs)):
+            monkeypatch.setattr(near_dedup, name, value)
+        got = near_dedup.near_duplicates(d).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------------------------
 
 
