@@ -11,9 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Latin letters with marks and what is left without them; `strip_accents_full` covers all of Unicode.
-_MARKED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝŸÑÇ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYYNC"
+#: Latin, Greek and Cyrillic letters with marks, and what is left without them, by Unicode's own decomposition.
+_BARE = {chr(c): "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not "\u0300" <= x <= "\u036f") for c in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]}
+_MARKED = "".join(c for c, plain in _BARE.items() if len(plain) == 1 and plain != c)
+_PLAIN = "".join(_BARE[c] for c in _MARKED)
 #: Word edge by ASCII letters, so that `rosé` ends at `s`.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
@@ -41,7 +42,8 @@ def edged(pattern: str) -> str:
 
 
 def strip_accents(x: Column) -> Column:
-    return F.translate(x, _MARKED, _PLAIN)
+    """Without marks, composed or combining (U+0300 to U+036F); `strip_accents_full` also covers the remaining scripts."""
+    return F.regexp_replace(F.translate(x, _MARKED, _PLAIN), "[\u0300-\u036f]", "")
 
 
 @F.pandas_udf(StringType())

@@ -85,6 +85,30 @@ ALIASES = [
     ("chandon", "chandon"),
     ("baron b", "baronb"),
 ]
+#: Brands of several spellings, and the one they are shown by.
+BRAND_NAMES = [
+    ("bodega catena zapata", "Catena Zapata"),
+    ("catena zapata", "Catena Zapata"),
+    ("catena", "Catena Zapata"),
+    ("familia zuccardi", "Zuccardi"),
+    ("zucardi", "Zuccardi"),
+    ("bodegas zuccardi", "Zuccardi"),
+    ("bodega norton", "Norton"),
+    ("bodegas norton", "Norton"),
+    ("bodega trapiche", "Trapiche"),
+    ("bodegas trapiche", "Trapiche"),
+    ("bodega salentein", "Salentein"),
+    ("bodegas salentein", "Salentein"),
+    ("bodega luigi bosca", "Luigi Bosca"),
+    ("luigi bosca", "Luigi Bosca"),
+    ("cheval des andes", "Cheval des Andes"),
+    ("el esteco", "El Esteco"),
+    ("finca las moras", "Las Moras"),
+    ("las moras", "Las Moras"),
+    ("don david", "Don David"),
+]
+SMALL_WORDS = ["de", "del", "la", "el", "las", "los", "y", "&"]
+CAPITAL_WORDS = ["dv", "doc", "ii", "iii", "iv", "vi", "vii", "viii", "ix"]
 MENDOZA = ["Mendoza", "Valle de Uco", "Luján de Cuyo", "Maipú"]
 
 
@@ -117,6 +141,34 @@ def colour(name: Column) -> Column:
     return F.nullif(F.coalesce(like, word), F.lit(""))
 
 
+def _bare_brand(brand: Column) -> Column:
+    return squeeze(F.regexp_replace(F.lower(brand), r"^\s*(bodegas?|familia)\s+", ""))
+
+
+def _known_brand(bare: Column) -> Column:
+    return F.coalesce(*[F.when(bare == said, F.lit(shown)) for said, shown in BRAND_NAMES])
+
+
+def brand_key(brand: Column) -> Column:
+    """What brands are grouped by: lower case, without a leading house word, spellings of one brand under one."""
+    bare = _bare_brand(brand)
+    return F.coalesce(F.lower(_known_brand(bare)), bare)
+
+
+def display_brand(brand: Column) -> Column:
+    """A brand as it is shown: its known name, else itself if it mixes cases, else with capitals but for small words."""
+    own = F.trim(brand)
+    word = lambda w: F.when(w.isin(SMALL_WORDS), w).when(w.isin(CAPITAL_WORDS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))
+    capitals = F.array_join(F.transform(F.split(F.lower(own), r"\s+"), word), " ")
+    return F.coalesce(_known_brand(_bare_brand(own)), F.when(own.rlike("[a-z]") & own.rlike("[A-Z]"), own).otherwise(capitals), F.lit(""))
+
+
+def brand_slug(brand: Column) -> Column:
+    """What a brand's page is addressed by; null where nothing is left."""
+    plain = F.regexp_replace(F.lower(strip_accents(brand)), r"^bodegas?\s+", "")
+    return F.nullif(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(""))
+
+
 def is_wine(name: Column) -> Column:
     """No word and no bottle size of something else."""
     return ~F.coalesce(name.rlike("(?iu)" + edged(NOT_WINE)) | name.rlike("(?iu)" + edged(NOT_WINE_SIZE)), F.lit(False))

@@ -26,9 +26,9 @@ def map_brand(listings: DataFrame, mapping: DataFrame, column: str = "brand") ->
 
 
 def drop_bad_brands(listings: DataFrame, bad: DataFrame) -> DataFrame:
-    """Brands that are no brands (varietals, placeholders) become null."""
-    known = bad.select(brand_alias_key(F.col("brand")).alias("__tm_bad")).distinct()
-    rows = listings.join(known, brand_alias_key(F.col("brand")) == F.col("__tm_bad"), "left")
+    """Brands that are no brands (varietals, placeholders) become null; labels are compared as plain names, a leading house word included."""
+    known = bad.select(normalize_name(F.col("brand")).alias("__tm_bad")).distinct()
+    rows = listings.join(known, normalize_name(F.col("brand")) == F.col("__tm_bad"), "left")
     return rows.withColumn("brand", F.when(F.col("__tm_bad").isNull(), F.col("brand"))).drop("__tm_bad")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.functions.wine import is_wine
+
 
 def upsert_today(history: DataFrame, today: DataFrame, keep: int = 30, max_age: int = 31) -> DataFrame:
     """slug, date, min, stores: a slug's row of a day is replaced by the newest run; the last `keep` days of slugs seen within `max_age` days stay."""
@@ -29,14 +31,21 @@ def prune(history: DataFrame, groups: DataFrame) -> DataFrame:
     return history.join(groups.select(F.col("group_slug").alias("slug")), "slug", "left_semi")
 
 
-def price_drops(history: DataFrame, groups: DataFrame, low: float = 0.15, high: float = 0.70, least_price: float = 1500, entries: int = 7, limit: int | None = 50) -> DataFrame:
-    """Last price against the median of the `entries` entries before it."""
+def price_drops(history: DataFrame, groups: DataFrame, low: float = 0.15, high: float = 0.70, least_price: float = 1500, entries: int = 7, limit: int | None = 50, offers: DataFrame | None = None) -> DataFrame:
+    """Last price against the median of the priced ones among the `entries` entries before it, for wines (by name) of two stores or more.
+
+    With `offers`, only groups that have an offer in stock that is no collector's item.
+    """
     w = Window.partitionBy("slug").orderBy(F.desc("date"))
     rows = history.select("slug", "date", "min", F.row_number().over(w).alias("rn"))
-    found = rows.where(F.col("rn") <= entries + 1).groupBy("slug").agg(F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col("min"))).alias("current_price"), F.max("date").alias("last_date"), F.median(F.when(F.col("rn") > 1, F.col("min"))).alias("median_price"))
-    found = found.where((F.col("n") >= entries) & (F.col("median_price") > 0)).withColumn("drop_pct", F.round((F.col("median_price") - F.col("current_price")) / F.col("median_price"), 3))
-    found = found.where(F.col("drop_pct").between(low, high) & (F.col("current_price") >= least_price))
-    out = found.join(groups.where((F.col("store_count") >= 2) & (F.col("in_stock_offer_count") > 0)).select(F.col("group_slug").alias("slug"), "brand", "store_count"), "slug")
+    found = rows.where(F.col("rn") <= entries + 1).groupBy("slug").agg(F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col("min"))).alias("current_price"), F.max("date").alias("last_date"), F.median(F.when((F.col("rn") > 1) & (F.col("min") > 0), F.col("min"))).alias("median_price"))
+    found = found.where((F.col("n") >= entries) & (F.col("median_price") > 0)).withColumn("raw", (F.col("median_price") - F.col("current_price")) / F.col("median_price"))
+    found = found.where(F.col("raw").between(low, high) & (F.col("current_price") >= least_price)).withColumn("drop_pct", F.round("raw", 3))
+    fit = groups.where((F.col("store_count") >= 2) & (F.col("in_stock_offer_count") > 0) & is_wine(F.col("name")))
+    out = found.join(fit.select(F.col("group_slug").alias("slug"), "brand", "store_count"), "slug")
+    if offers is not None:
+        plain = offers.where(F.col("in_stock") & ~F.coalesce("is_collector", F.lit(False))).select(F.col("group_slug").alias("slug"))
+        out = out.join(plain, "slug", "left_semi")
     out = out.select("slug", "brand", "current_price", "median_price", "drop_pct", "store_count", "last_date")
     return out.orderBy(F.desc("drop_pct"), "slug").limit(limit) if limit else out
 

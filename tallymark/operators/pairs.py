@@ -55,13 +55,13 @@ def shared_values(rows: DataFrame, value: str, key: str, least: int = 2) -> Data
 
 
 def near_hashes(hashes: DataFrame, threshold: int = 10) -> DataFrame:
-    """Pairs of 256-bit hashes within `threshold` (15 at most) bits.
+    """Pairs (a, b, distance) of different 256-bit hashes within `threshold` (15 at most) bits, each named by the least url that has it.
 
-    By the pigeonhole rule such hashes agree on one of 16 words of 16 bits, so an equi-join on those finds all.
+    By the pigeonhole rule such hashes agree on one of 16 words of 16 bits, so an equi-join on those finds all. Rows of one hash are one member, see `hash_members`.
     """
     if threshold > 15:
         raise ValueError("16 bands cannot prove a distance beyond 15")
-    rows = hashes.where(F.length("hash") == 64).select("url", F.lower("hash").alias("hash"))
+    rows = hashes.where(F.length("hash") == 64).groupBy(F.lower("hash").alias("hash")).agg(F.min("url").alias("url"))
     banded = rows.select("url", "hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.substring("hash", k * 4 + 1, F.lit(4)))).alias("band", "word"))
     a, b = banded.alias("a"), banded.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.url") < F.col("b.url")))
@@ -69,17 +69,29 @@ def near_hashes(hashes: DataFrame, threshold: int = 10) -> DataFrame:
     return met.where(F.col("distance") <= threshold).distinct()
 
 
-def health(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Issues of a run (store_slug, product_count, errors as a count) against the one before; new stores raise none."""
-    now = current.withColumnsRenamed({"product_count": "now", "errors": "errors_now"})
+def hash_members(hashes: DataFrame, threshold: int = 10) -> DataFrame:
+    """url, first (the least url of its hash) and links (other hashes within `threshold` bits) of every row with a hash."""
+    rows = hashes.where(F.length("hash") == 64).select("url", F.lower("hash").alias("hash"))
+    first = rows.groupBy("hash").agg(F.min("url").alias("first"))
+    pairs = near_hashes(hashes, threshold)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
+    return rows.join(first, "hash").join(links, "first", "left").select("url", "first", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def health(previous: DataFrame, current: DataFrame, strict: bool = False) -> DataFrame:
+    """All issues of a run (store_slug, product_count, errors as a count) against the one before; a store may have several, new ones none by comparison.
+
+    A store that lost everything isn't said to have halved as well. With `strict`, errors of a store are errors of the run.
+    """
+    now = current.withColumnsRenamed({"product_count": "now", "errors": "errors_now"}).withColumn("now", F.coalesce("now", F.lit(0)))
     both = now.join(previous.select("store_slug", F.col("product_count").alias("before")), "store_slug", "left")
-    kind = (
-        F.when((F.col("before") >= 50) & (F.col("now") == 0), F.lit("error:lost"))
-        .when((F.col("before") >= 30) & (F.col("now") <= 0.5 * F.col("before")), F.lit("warn:halved"))
-        .when((F.col("now") == 0) & (F.col("errors_now") == 0), F.lit("warn:silent zero"))
-        .when(F.col("errors_now") > 0, F.lit("warn:errors"))
-    )
-    issues = both.select(kind.alias("issue"), "store_slug", F.coalesce("before", F.lit(0)).alias("before"), "now").where("issue is not null")
+    kinds = [
+        F.when(F.col("errors_now") > 0, F.lit("error:errors" if strict else "warn:errors")),
+        F.when((F.col("now") == 0) & (F.col("errors_now") == 0), F.lit("warn:silent zero")),
+        F.when((F.col("before") >= 50) & (F.col("now") == 0), F.lit("error:lost")),
+        F.when((F.col("before") >= 30) & (F.col("now") > 0) & (F.col("now") <= 0.5 * F.col("before")), F.lit("warn:halved")),
+    ]
+    issues = both.select(F.explode(F.array_compact(F.array(*kinds))).alias("issue"), "store_slug", F.coalesce("before", F.lit(0)).alias("before"), "now")
     total = both.agg(F.sum("before").alias("before"), F.sum("now").alias("now")).where((F.col("before") >= 1000) & (F.col("now") <= 0.8 * F.col("before")))
     return issues.unionByName(total.select(F.lit("error:total").alias("issue"), F.lit(None).cast(issues.schema["store_slug"].dataType).alias("store_slug"), "before", "now"))
 

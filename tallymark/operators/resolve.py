@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.mathx import cosine, jaccard
-from tallymark.functions.text import squeeze
+from tallymark.functions.text import squeeze, strip_accents
 from tallymark.operators.graph import connected_components
 from tallymark.operators.stats import top_k
 
@@ -132,12 +132,31 @@ def decided_links(grey: DataFrame, decisions: DataFrame, key: Column) -> tuple[D
     return done.where("answer = 'yes'").select(F.col("a").alias("src"), F.col("b").alias("dst")), done.where("answer is null").select("a", "b", "key")
 
 
-def bucket_merge(groups: DataFrame, bucket: Sequence[str]) -> DataFrame:
-    """Groups of one strict bucket are one, unless their vintages or brands contradict each other; the one of most stores survives."""
+def brands_agree(brands: Column) -> Column:
+    """Whether plain labels (distinct, without bad brands) may be one brand: one at most, one that holds all others, or all within a typo of each other.
+
+    A typo is one edit, or one in ten characters of the longer label; labels under five characters allow none.
+    """
+    holds_all = F.exists(brands, lambda x: F.forall(brands, lambda y: x.contains(y)))
+    near = lambda x, y: (x == y) | ((F.length(x) >= 5) & (F.length(y) >= 5) & (F.levenshtein(x, y) <= F.greatest(F.lit(1), F.floor(F.greatest(F.length(x), F.length(y)) / 10))))
+    return (F.size(brands) <= 1) | holds_all | F.forall(brands, lambda x: F.forall(brands, lambda y: near(x, y)))
+
+
+def bucket_merge(groups: DataFrame, bucket: Sequence[str], bad: DataFrame | None = None) -> DataFrame:
+    """Groups of one strict bucket are one, unless their vintages or brands contradict each other; the one of most stores survives.
+
+    Brands of the table `bad` (brand) are none. A bucket's brands come together as distinct labels, which are few, or it wouldn't be one product.
+    """
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string") if c != "varietals" else F.array_join(F.array_sort(c), ","), F.lit("")) for c in bucket])
-    rows = groups.withColumn("bucket", key)
-    fit = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("vintage").alias("vintages"), F.countDistinct(F.lower("brand")).alias("brands"), F.min_by("group_slug", F.struct(F.negative("store_count"), "group_slug")).alias("merged_into"))
-    return rows.join(fit.where("n > 1 and vintages <= 1 and brands <= 1"), "bucket").select("group_slug", "merged_into")
+    label = F.trim(F.lower(strip_accents(F.col("brand"))))
+    rows = groups.withColumn("bucket", key).withColumn("label", label)
+    if bad is not None:
+        known = bad.select(F.trim(F.lower(strip_accents(F.col("brand")))).alias("label"), F.lit(True).alias("is_bad")).distinct()
+        rows = rows.join(known, "label", "left").withColumn("label", F.when(F.col("is_bad").isNull(), F.col("label"))).drop("is_bad")
+    fit = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("vintage").alias("vintages"), F.min_by("group_slug", F.struct(F.negative("store_count"), "group_slug")).alias("merged_into"))
+    labels = rows.where("label is not null and label <> ''").select("bucket", "label").distinct().groupBy("bucket").agg(F.collect_list("label").alias("labels"))
+    fit = fit.where("n > 1 and vintages <= 1").join(labels, "bucket", "left").where(F.col("labels").isNull() | brands_agree(F.col("labels")))
+    return rows.join(fit, "bucket").select("group_slug", "merged_into")
 
 
 def inherit_empty(groups: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -151,23 +170,25 @@ def inherit_empty(groups: DataFrame, key: Sequence[str]) -> DataFrame:
 def split_chimeras(offers: DataFrame, least_offers: int = 8, least_cluster: int = 3) -> DataFrame:
     """group_slug, ord and new_slug of the offers of groups that hold several products.
 
-    Splitter tokens are held by 10 to 75 % of a group's offers; each offer may hold one at most. The largest cluster keeps the slug; others add the token, offers without one
-    add `var`. A group whose product number spans clusters stays whole.
+    Splitter tokens are held by 10 to 75 % of a group's offers; each offer may hold one at most. The largest cluster keeps the slug; others add the token's first ten letters a-z
+    and digits, offers without one add `var`. A group of which a valid product number spans clusters stays whole.
     """
     from tallymark.operators.stats import splitter_tokens
 
-    big = offers.join(offers.groupBy("group_slug").agg(F.count("*").alias("n")).where(F.col("n") >= least_offers).select("group_slug"), "group_slug", "left_semi")
+    sized = offers.groupBy("group_slug").agg(F.count("*").alias("n")).where(F.col("n") >= least_offers).select("group_slug")
+    big = offers.join(sized, "group_slug", "left_semi")
     marks = splitter_tokens(big, "group_slug", "tokens", least=least_cluster).groupBy("group_slug").agg(F.collect_set("token").alias("splitters"))
-    rows = big.join(marks, "group_slug").where(F.size("splitters") >= 2).withColumn("held", F.array_intersect("tokens", "splitters"))
-    rows = rows.withColumn("cluster", F.coalesce(F.get("held", F.lit(0)), F.lit("var")))
-    bad = rows.groupBy("group_slug").agg(F.max(F.size("held")).alias("most")).where("most > 1").select("group_slug")
-    ean = rows.where(F.col("sku").isNotNull()).groupBy("group_slug", "sku").agg(F.countDistinct("cluster").alias("c")).where("c > 1").select("group_slug")
-    sizes = rows.groupBy("group_slug", "cluster").agg(F.count("*").alias("n"))
-    good = sizes.where(F.col("n") >= least_cluster).groupBy("group_slug").agg(F.count("*").alias("clusters")).where("clusters >= 2").select("group_slug")
-    lead = sizes.groupBy("group_slug").agg(F.min_by("cluster", F.struct(F.negative("n"), "cluster")).alias("lead"))
-    rows = rows.join(good, "group_slug", "left_semi").join(bad.union(ean), "group_slug", "left_anti").join(lead, "group_slug")
-    slug = F.when(F.col("cluster") == F.col("lead"), F.col("group_slug").cast("string")).otherwise(F.concat_ws("__", F.col("group_slug").cast("string"), F.col("cluster")))
-    return rows.select("group_slug", "ord", slug.alias("new_slug"))
+    rows = big.join(marks.where(F.size("splitters") >= 2), "group_slug").withColumn("held", F.array_intersect("tokens", "splitters"))
+    rows = rows.withColumn("cluster", F.coalesce(F.get("held", F.lit(0)), F.lit(""))).withColumn("ean", valid_ean(F.col("sku")))
+    # One row a cluster and product number, then one a cluster, then one a group: each sum is taken from the one before.
+    by_ean = rows.groupBy("group_slug", "cluster", "ean").agg(F.count("*").alias("n"), F.max(F.size("held")).alias("most"))
+    spans = by_ean.where("ean is not null").groupBy("group_slug", "ean").agg(F.count("*").alias("clusters")).where("clusters > 1").select("group_slug").distinct()
+    sizes = by_ean.groupBy("group_slug", "cluster").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+    fit = sizes.groupBy("group_slug").agg(F.max("most").alias("most"), F.count_if(F.col("n") >= least_cluster).alias("clusters"), F.min_by("cluster", F.struct(F.negative("n"), "cluster")).alias("lead"))
+    fit = fit.where("most <= 1 and clusters >= 2").join(spans, "group_slug", "left_anti").select("group_slug", "lead")
+    suffix = F.when(F.col("cluster") == "", F.lit("var")).otherwise(F.substring(F.regexp_replace("cluster", "[^a-z0-9]", ""), 1, 10))
+    slug = F.when(F.col("cluster") == F.col("lead"), F.col("group_slug").cast("string")).otherwise(F.concat_ws("__", F.col("group_slug").cast("string"), suffix))
+    return rows.join(fit, "group_slug").select("group_slug", "ord", slug.alias("new_slug"))
 
 
 def repair_images(groups: DataFrame, offers: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import EDGE, squeeze, strip_accents
@@ -23,13 +26,16 @@ def plain_text(x: Column) -> Column:
     return F.lower(strip_accents(F.coalesce(x, F.lit(""))))
 
 
+def query_words(query: str) -> list[str]:
+    """The words of a query as texts are compared: lower case, without accents."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", query.strip().lower()) if not unicodedata.combining(c))
+    return plain.split()
+
+
 def relevance(query: str) -> Column:
     """Score of a group for a query; query tokens are taken literally."""
-    import re
-    import unicodedata
-
-    phrase = "".join(c for c in unicodedata.normalize("NFD", query.strip().lower()) if not unicodedata.combining(c))
-    words = [w for w in phrase.split() if w]
+    words = query_words(query)
+    phrase = " ".join(words)
     name, brand = plain_text(F.col("name")), plain_text(F.col("brand"))
     both = F.when(brand != "", F.concat_ws(" ", brand, name)).otherwise(name)
     score = F.lit(0.0)
@@ -53,20 +59,20 @@ def order_of(sort: str, query: str = "") -> list[Column]:
         "price-asc": [low, F.desc("store_count"), last],
         "price-desc": [cheap().desc_nulls_last(), F.desc("store_count"), last],
         "stores-desc": [F.desc("store_count"), low, last],
-        "name-asc": [F.expr("name collate UNICODE").asc(), last],
+        "name-asc": [F.expr("name collate es").asc(), last],
         "score-desc": [F.coalesce(F.col("critic_score"), F.lit(0.0)).desc() if sort == "score-desc" else F.lit(0).desc(), low, last],
     }[sort]
 
 
 def filters(query: str = "", varietal: str | None = None, type: str | None = None, region: str | None = None, brands: Sequence[str] | None = None, multi: bool = False, in_stock: bool = False, price_min: float | None = None, price_max: float | None = None) -> Column:
-    """The conjunction of all given filters; each query token must occur in brand or name."""
+    """The conjunction of all given filters; each query token must occur in brand or name, accents aside. What is no wine by its name never passes."""
     if (price_min or 0) < 0 or (price_max or 0) < 0:
         raise ValueError("prices must not be negative")
-    ok = F.lit(True)
+    ok = is_wine(F.col("name"))
     if multi:
         ok = ok & (F.col("store_count") >= 2)
     if in_stock:
-        ok = ok & (F.col("in_stock_offer_count") >= 1)
+        ok = ok & (F.col("store_count") >= 1)  # stores count by offers in stock
     if varietal:
         ok = ok & F.exists("varietals", lambda v: F.lower(v) == varietal.lower())
     for column, value in (("type", type), ("region", region)):
@@ -79,7 +85,7 @@ def filters(query: str = "", varietal: str | None = None, type: str | None = Non
     if price_max is not None:
         ok = ok & (F.col("min_price") <= price_max)
     both = squeeze(F.concat_ws(" ", plain_text(F.col("brand")), plain_text(F.col("name"))))
-    for w in query.lower().split():
+    for w in query_words(query):
         ok = ok & both.contains(w)
     return ok
 
@@ -90,11 +96,44 @@ def search(groups: DataFrame, query: str = "", sort: str | None = None, limit: i
     return groups.where(filters(query, **options)).orderBy(*order_of(sort or ("relevance" if query else "price-asc"), query)).limit(limit)
 
 
+def page(groups: DataFrame, offers: DataFrame, stores: DataFrame, query: str = "", sort: str | None = None, limit: int = 24, base: str = "", **options) -> DataFrame:
+    """What a search answers: the rows in order with their place, best store and link."""
+    found = search(groups, query, sort, limit, **options)
+    at = F.row_number().over(Window.orderBy(*order_of(sort or ("relevance" if query else "price-asc"), query)))  # `limit` rows
+    found = found.withColumn("position", at)
+    best = first_offer(offers.join(F.broadcast(found.select("group_slug")), "group_slug", "left_semi"))  # 100 slugs at most
+    best = best.join(stores.select("store_slug", "store_name"), "store_slug", "left")
+    out = found.join(best, "group_slug", "left")
+    return out.select("position", "group_slug", "name", "brand", "region", "type", "min_price", "max_price", "store_count", F.col("store_slug").alias("best_store_slug"), F.coalesce("store_name", F.col("store_slug").cast("string")).alias("best_store_name"), F.concat(F.lit(base), F.col("group_slug").cast("string")).alias("permalink"))
+
+
+def first_offer(offers: DataFrame) -> DataFrame:
+    """group_slug and store_slug of the first offer in stock that is no collector's item, in the offers' order."""
+    rows = offers.where(F.col("in_stock") & ~F.coalesce("is_collector", F.lit(False)))
+    return rows.groupBy("group_slug").agg(F.min_by("store_slug", "ord").alias("store_slug"))
+
+
+def autocomplete(groups: DataFrame, query: str, least: int = 2, limit: int = 20) -> DataFrame:
+    """The most relevant groups for what was typed so far; nothing below `least` characters."""
+    if len(query.strip()) < least:
+        return groups.limit(0)
+    return search(groups, query, limit=min(limit, 20))
+
+
+def facets(groups: DataFrame, query: str = "", **options) -> DataFrame:
+    """facet, value, n of varietals, types and regions among all that a search finds, in one scan."""
+    found = groups.where(filters(query, **options))
+    one = lambda name: F.array(F.struct(F.lit(name).alias("facet"), F.col(name).alias("value")))
+    many = F.transform(F.array_distinct(F.col("varietals")), lambda v: F.struct(F.lit("varietal").alias("facet"), v.alias("value")))
+    rows = found.select(F.inline(F.concat(F.coalesce(many, F.array().cast("array<struct<facet:string,value:string>>")), one("type"), one("region"))))
+    return rows.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
 def top_deals(groups: DataFrame, limit: int = 6, least_price: float = 2000) -> DataFrame:
-    """Wines of three stores or more that save 25 to 70 %, by whole percent, then stores."""
+    """Wines with an image, of three stores or more, that save 25 to 70 %, by whole percent, then stores."""
     saved = (F.col("max_price") - F.col("min_price")) / F.col("max_price")
     rows = groups.where((F.col("store_count") >= 3) & (F.col("min_price") >= least_price) & (F.col("max_price") > F.col("min_price")))
-    rows = rows.where(is_wine(F.col("name")))
+    rows = rows.where(is_wine(F.col("name")) & (F.length("image_url") > 0))
     rows = rows.withColumn("savings", saved).where(F.col("savings").between(0.25, 0.7))
     return rows.orderBy(F.desc(F.floor(F.col("savings") * 100)), F.desc("store_count"), F.desc("savings"), "group_slug").limit(limit)
 
@@ -171,21 +210,57 @@ def rankings(groups: DataFrame, registry: Sequence[Ranking]) -> DataFrame:
     """All rankings in one scan: ranking, position, group_slug, min_price, store_count."""
     flags = F.array_compact(F.array(*[F.when(r.predicate(), F.struct(F.lit(r.slug).alias("ranking"), F.lit(r.order == "price").alias("by_price"), F.lit(r.limit).alias("most"))) for r in registry]))
     rows = groups.where(clean()).select("group_slug", "min_price", "store_count", F.inline(flags))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("ranking").orderBy(F.when(F.col("by_price"), F.lit(0)).otherwise(-F.col("store_count")), "min_price", "group_slug")
     return rows.withColumn("position", F.row_number().over(order)).where("position <= most").select("ranking", "position", "group_slug", "min_price", "store_count")
 
 
+#: The sections of the rankings' page.
+RANKING_SECTIONS = [
+    ("producers", ["top-catena-zapata", "top-salentein", "top-rutini", "top-zuccardi", "top-trapiche"]),
+    ("regions", ["top-valle-de-uco", "top-lujan-de-cuyo", "top-salta", "top-patagonia"]),
+]
+
+
+def ranking_index(ranked: DataFrame, registry: Sequence[Ranking], sections: Sequence[tuple[str, list[str]]] = RANKING_SECTIONS, others: str = "others") -> DataFrame:
+    """section, ranking, place in the registry and items of every ranking, empty ones included; what no section claims comes under `others`."""
+    spark = ranked.sparkSession
+    of = {slug: name for name, slugs in sections for slug in slugs}
+    listed = spark.createDataFrame([(of.get(r.slug, others), r.slug, k) for k, r in enumerate(registry)], "section string, ranking string, place int")
+    counted = ranked.groupBy("ranking").agg(F.count("*").alias("items"))
+    return listed.join(counted, "ranking", "left").select("section", "ranking", "place", F.coalesce("items", F.lit(0)).alias("items"))
+
+
+#: Factors of a base's price between which a related group's price lies, and the ratio of neighbouring price steps.
+NEAR_PRICE, PRICE_STEP = (0.65, 1.45), 1.5
+
+
 def related(groups: DataFrame, bases: DataFrame, k: int = 6) -> DataFrame:
     """For each base group the k best in-stock groups that share a varietal: varietal 3, region 2, price within 0.65 to 1.45 times 2, three stores 1.
 
-    An equi-join on varietals; groups met through several of them count once.
+    An equi-join on varietals; groups met through several of them count once. A base without varietals may have any group: those of its region and those of its price
+    steps are met by equi-joins, and of the others, which score by stores alone, only the first k + 1 can win.
     """
     from tallymark.operators.stats import top_k
 
-    left = bases.select(F.col("group_slug").alias("base"), F.explode("varietals").alias("varietal"), F.col("region").alias("b_region"), F.col("min_price").alias("b_price"))
-    right = groups.where((F.col("min_price") > 0) & (F.col("in_stock_offer_count") > 0)).select("group_slug", F.explode("varietals").alias("varietal"), "region", "min_price", "store_count")
-    met = left.join(right, "varietal").where("base <> group_slug").drop("varietal").distinct()
-    score = 3 + F.when(F.lower("b_region") == F.lower("region"), 2).otherwise(0) + F.when((F.col("min_price") >= F.col("b_price") * 0.65) & (F.col("min_price") <= F.col("b_price") * 1.45), 2).otherwise(0) + F.when(F.col("store_count") >= 3, 1).otherwise(0)
+    step = lambda p: F.floor(F.ln(p) / float(math.log(PRICE_STEP)))
+    base = bases.select(F.col("group_slug").alias("base"), F.array_distinct(F.transform("varietals", lambda v: F.lower(v))).alias("b_varietals"), F.lower("region").alias("b_region"), F.col("min_price").alias("b_price"))
+    live = groups.where((F.col("min_price") > 0) & (F.col("in_stock_offer_count") > 0)).select("group_slug", F.array_distinct(F.transform("varietals", lambda v: F.lower(v))).alias("g_varietals"), F.lower("region").alias("region"), "min_price", "store_count")
+    some, none = base.where(F.size("b_varietals") > 0), base.where(F.coalesce(F.size("b_varietals"), F.lit(0)) <= 0)
+    ends = [step(F.col("b_price") * f) for f in NEAR_PRICE]
+    first = live.orderBy((F.col("store_count") >= 3).desc(), F.desc("store_count"), "group_slug").limit(k + 1)  # k + 1 rows
+    ways = [
+        (some.withColumn("on", F.explode("b_varietals")), live.withColumn("on", F.explode("g_varietals"))),
+        (none.where("b_region is not null").withColumn("on", F.col("b_region")), live.withColumn("on", F.col("region"))),
+        (none.where("b_price > 0").withColumn("on", F.explode(F.sequence(*ends))), live.withColumn("on", step(F.col("min_price")))),
+        (none.withColumn("on", F.lit(0)), F.broadcast(first.withColumn("on", F.lit(0)))),
+    ]
+    columns = ["base", "b_varietals", "b_region", "b_price", "group_slug", "region", "min_price", "store_count"]
+    met = None
+    for left, right in ways:
+        rows = left.join(right, "on").where("base <> group_slug").select(*columns)
+        met = rows if met is None else met.union(rows)
+    met = met.distinct()
+    same = F.when(F.size("b_varietals") > 0, 3).otherwise(0)
+    near = (F.col("min_price") >= F.col("b_price") * NEAR_PRICE[0]) & (F.col("min_price") <= F.col("b_price") * NEAR_PRICE[1])
+    score = same + F.when(F.col("b_region") == F.col("region"), 2).otherwise(0) + F.when(near, 2).otherwise(0) + F.when(F.col("store_count") >= 3, 1).otherwise(0)
     return top_k(met.withColumn("score", score), ["base"], [F.desc("score"), F.desc("store_count"), F.col("group_slug")], k).select("base", "rank", "group_slug", "score")

@@ -20,6 +20,16 @@ def best_offer(offers: DataFrame, stores: DataFrame) -> DataFrame:
     return best.join(stores.select("store_slug", "store_name"), "store_slug", "left").select("group_slug", "store_slug", "price", F.coalesce("store_name", F.col("store_slug").cast("string")).alias("store_name"))
 
 
+def detail_offers(slugs: DataFrame, offers: DataFrame, stores: DataFrame) -> DataFrame:
+    """Every offer of the groups asked for (group_slug), in the order of a product page, with the store's name and what it costs over the best price in stock."""
+    rows = offers.join(slugs.select("group_slug").distinct(), "group_slug", "left_semi")
+    own = Window.partitionBy("group_slug")  # one product's offers
+    best = F.min(F.when(F.col("in_stock") & (F.col("price") > 0), F.col("price"))).over(own)
+    rows = rows.select("*", F.row_number().over(own.orderBy(*offer_order())).alias("place"), (F.col("price") - best).alias("over_best"))
+    named = rows.join(stores.select("store_slug", "store_name"), "store_slug", "left")
+    return named.select("group_slug", "place", "store_slug", F.coalesce("store_name", F.col("store_slug").cast("string")).alias("store_name"), "price", "in_stock", "is_collector", "over_best")
+
+
 def in_list_order(groups: DataFrame, slugs: DataFrame, limit: int = 200) -> DataFrame:
     """Groups of a list (slug, pos) in the list's order; unknown slugs are left out."""
     return slugs.orderBy("pos").limit(limit).join(groups, slugs["slug"] == groups["group_slug"]).select("pos", "group_slug", "name", "min_price")

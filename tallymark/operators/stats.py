@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import edged
+from tallymark.functions.wine import brand_key, brand_slug, display_brand
 
 # Offers of several bottles, and brands that are no wine.
 CASE_WORDS = "(?iu)" + edged(r"\b(estuche|caja\b|cajas\b|caj[ìí]n|pack|gift\s*box|6\s*pack|six\s*pack|x\s*[2-9][0-9]*\b|x[2-9][0-9]*\b)")
@@ -40,30 +41,34 @@ def active_only(offers: DataFrame, stores: DataFrame) -> DataFrame:
     return offers.join(stores.select("store_slug").distinct(), "store_slug", "left_semi")
 
 
+def _by_store(offers: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """A row a group and store: `all` offers, and by kind how many (n_), the lowest (lo_) and the highest price (hi_).
+
+    Stores are then counted as rows that have some of a kind, where several distinct counts would expand each offer.
+    """
+    marks = [x for k, c in kinds.items() for x in (F.count_if(c).alias(f"n_{k}"), F.min(F.when(c & priced(), F.col("price"))).alias(f"lo_{k}"), F.max(F.when(c & priced(), F.col("price"))).alias(f"hi_{k}"))]
+    return offers.groupBy("group_slug", "store_slug").agg(F.count("*").alias("all"), *marks)
+
+
+def _of_kind(k: str, store: Column) -> list[Column]:
+    return [F.sum(f"n_{k}").alias(f"n_{k}"), F.min(f"lo_{k}").alias(f"lo_{k}"), F.max(f"hi_{k}").alias(f"hi_{k}"), F.count_if((F.col(f"n_{k}") > 0) & store.isNotNull()).alias(f"s_{k}")]
+
+
 def group_stats(offers: DataFrame) -> DataFrame:
     """Per group: offers, offers in stock, stores and price range over those in stock with a price."""
-    on = live()
-    return offers.groupBy("group_slug").agg(
-        F.count("*").alias("offer_count"),
-        F.count_if(on).alias("in_stock_offer_count"),
-        F.countDistinct(F.when(on, F.col("store_slug"))).alias("store_count"),
-        F.min(F.when(on, F.col("price"))).alias("min_price"),
-        F.max(F.when(on, F.col("price"))).alias("max_price"),
-    )
+    rows = _by_store(offers, {"live": live()}).groupBy("group_slug").agg(F.sum("all").alias("offer_count"), *_of_kind("live", F.col("store_slug")))
+    return rows.select("group_slug", "offer_count", F.col("n_live").alias("in_stock_offer_count"), F.col("s_live").alias("store_count"), F.col("lo_live").alias("min_price"), F.col("hi_live").alias("max_price"))
 
 
 def group_stats_fallback(offers: DataFrame, bases: Sequence[Column] | None = None) -> DataFrame:
     """Price range over the first of `bases` that holds an offer: in stock and no collector's item, else in stock, else priced."""
-    bases = bases or (plain(), live(), priced())
-    named = [F.count_if(c).alias(f"n{k}") for k, c in enumerate(bases)]
-    for k, c in enumerate(bases):
-        named += [F.min(F.when(c, F.col("price"))).alias(f"lo{k}"), F.max(F.when(c, F.col("price"))).alias(f"hi{k}"), F.countDistinct(F.when(c, F.col("store_slug"))).alias(f"s{k}")]
-    rows = offers.groupBy("group_slug").agg(*named)
+    kinds = {f"k{k}": c for k, c in enumerate(bases or (plain(), live(), priced()))}
+    rows = _by_store(offers, kinds).groupBy("group_slug").agg(*[x for k in kinds for x in _of_kind(k, F.col("store_slug"))])
 
     def first(prefix: str) -> Column:
-        return F.coalesce(*[F.when(F.col(f"n{k}") > 0, F.col(f"{prefix}{k}")) for k in range(len(bases))])
+        return F.coalesce(*[F.when(F.col(f"n_{k}") > 0, F.col(f"{prefix}_{k}")) for k in kinds])
 
-    basis = F.coalesce(*[F.when(F.col(f"n{k}") > 0, F.lit(k)) for k in range(len(bases))])
+    basis = F.coalesce(*[F.when(F.col(f"n_{k}") > 0, F.lit(n)) for n, k in enumerate(kinds)])
     return rows.select("group_slug", basis.alias("basis"), first("lo").alias("min_price"), first("hi").alias("max_price"), F.coalesce(first("s"), F.lit(0)).alias("store_count"))
 
 
@@ -71,15 +76,11 @@ def bottle_stats(offers: DataFrame, stats: DataFrame, least: float = 1000) -> Da
     """Range and stores over single bottles: those in stock, else all priced ones; the group's own where there is no bottle."""
     is_case = F.coalesce(F.col("name").rlike(CASE_WORDS), F.lit(False))
     bottle = ~is_case & ~F.coalesce("is_collector", F.lit(False)) & ~(priced() & (F.col("price") < least))
-    on = bottle & F.col("in_stock")
-    rows = offers.groupBy("group_slug").agg(
-        F.max(is_case).alias("has_cases"), F.count_if(bottle).alias("bottles"),
-        F.min(F.when(on & priced(), F.col("price"))).alias("lo"), F.max(F.when(on & priced(), F.col("price"))).alias("hi"), F.countDistinct(F.when(on, F.col("store_slug"))).alias("s"),
-        F.min(F.when(bottle & priced(), F.col("price"))).alias("lo_all"), F.max(F.when(bottle & priced(), F.col("price"))).alias("hi_all"), F.countDistinct(F.when(bottle, F.col("store_slug"))).alias("s_all"),
-    )
+    rows = _by_store(offers, {"case": is_case, "any": bottle, "on": bottle & F.col("in_stock")})
+    rows = rows.groupBy("group_slug").agg(F.max(F.col("n_case") > 0).alias("has_cases"), *_of_kind("any", F.col("store_slug")), *_of_kind("on", F.col("store_slug")))
     rows = rows.join(stats.select("group_slug", "min_price", "max_price", "store_count"), "group_slug")
-    pick = lambda a, b, c, none: F.when(F.col("bottles") == 0, F.col(a)).when(F.col("lo").isNotNull(), F.col(b)).when(F.col("lo_all").isNotNull(), F.col(c)).otherwise(none)
-    return rows.select("group_slug", pick("min_price", "lo", "lo_all", None).alias("min_price"), pick("max_price", "hi", "hi_all", None).alias("max_price"), pick("store_count", "s", "s_all", 0).alias("store_count"), "has_cases")
+    pick = lambda own, on, any_, none: F.when(F.col("n_any") == 0, F.col(own)).when(F.col("lo_on").isNotNull(), F.col(on)).when(F.col("lo_any").isNotNull(), F.col(any_)).otherwise(none)
+    return rows.select("group_slug", pick("min_price", "lo_on", "lo_any", None).alias("min_price"), pick("max_price", "hi_on", "hi_any", None).alias("max_price"), pick("store_count", "s_on", "s_any", 0).alias("store_count"), "has_cases")
 
 
 def snapshot_totals(offers: DataFrame, groups: DataFrame) -> DataFrame:
@@ -103,19 +104,23 @@ def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, r
 
 
 def top_brands(groups: DataFrame, offers: DataFrame, limit: int = 12, share: float = 0.4, banned: str = SPIRITS) -> DataFrame:
-    """Brands by stores, then offers: those whose offers mostly belong to groups with a varietal or a table type."""
+    """Brands by stores, then offers, then name: those whose offers mostly belong to groups with a varietal or a table type. Spellings of a brand are one."""
     tagged = groups.where(F.col("brand").isNotNull() & (F.trim("brand") != "") & ~F.col("brand").rlike(banned))
-    tagged = tagged.select("group_slug", F.lower(F.trim("brand")).alias("brand"), ((F.size("varietals") > 0) | F.col("type").isin("Tinto", "Blanco")).alias("good"))
-    rows = offers.join(tagged, "group_slug").groupBy("brand").agg(F.count("*").alias("offer_count"), F.countDistinct("store_slug").alias("store_count"), F.count_if("good").alias("good"))
-    rows = rows.where(F.col("good") >= share * F.col("offer_count")).drop("good")
+    tagged = tagged.select("group_slug", brand_key(F.col("brand")).alias("key"), ((F.size("varietals") > 0) | F.coalesce(F.col("type").isin("Tinto", "Blanco"), F.lit(False))).alias("good"))
+    # Offers are summed by (group, store) first, so the wide shuffle carries a row a pair and stores are counted without expanding offers.
+    pairs = offers.groupBy("group_slug", "store_slug").agg(F.count("*").alias("n"))
+    rows = pairs.join(tagged, "group_slug").groupBy("key", "store_slug").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"))
+    rows = rows.groupBy("key").agg(F.sum("n").alias("offer_count"), F.count("*").alias("store_count"), F.sum("good").alias("good"))
+    rows = rows.where(F.col("good") >= share * F.col("offer_count")).select(display_brand(F.col("key")).alias("brand"), "offer_count", "store_count")
     return rows.orderBy(F.desc("store_count"), F.desc("offer_count"), "brand").limit(limit)
 
 
 def brand_pages(groups: DataFrame, offers: DataFrame, least: int = 3) -> DataFrame:
-    """One row a brand with at least `least` groups; spirits have no page."""
-    base = groups.where(F.col("brand").isNotNull() & ~F.col("brand").rlike(SPIRITS)).groupBy("brand").agg(F.count("*").alias("group_count"), F.sum("offer_count").alias("offer_count"), F.countDistinct("region").alias("regions"), F.max_by("name", F.struct(F.length("name"), "name")).alias("longest_name")).where(F.col("group_count") >= least)
-    stores = offers.join(groups.select("group_slug", "brand"), "group_slug").groupBy("brand").agg(F.countDistinct("store_slug").alias("store_count"))
-    return base.join(stores, "brand")
+    """One page a brand with at least `least` groups, by slug, under its longest shown name; spirits have no page."""
+    own = groups.where(F.col("brand").isNotNull() & ~F.col("brand").rlike(SPIRITS)).withColumn("slug", brand_slug(F.col("brand"))).where("slug is not null").withColumn("shown", display_brand(F.col("brand")))
+    base = own.groupBy("slug").agg(F.count("*").alias("group_count"), F.sum("offer_count").alias("offer_count"), F.countDistinct("region").alias("regions"), F.max_by("shown", F.struct(F.length("shown"), "shown")).alias("name")).where(F.col("group_count") >= least)
+    stores = offers.select("group_slug", "store_slug").distinct().join(own.select("group_slug", "slug"), "group_slug").groupBy("slug").agg(F.countDistinct("store_slug").alias("store_count"))
+    return base.join(stores, "slug", "left").withColumn("store_count", F.coalesce("store_count", F.lit(0)))
 
 
 def page_items(groups: DataFrame, column: str, k: int) -> DataFrame:

@@ -88,13 +88,13 @@ def facet_varietal(spark, d):
     return stats.facet_counts(v.groups(spark, d), "varietals")
 
 
-@query("SELECT lower(brand) AS brand, count(*) AS offer_count, count(DISTINCT store_slug) AS store_count FROM offers JOIN products USING (group_slug) GROUP BY 1 ORDER BY store_count DESC, offer_count DESC, brand LIMIT 12")
+@query("SELECT brand, count(*) AS offer_count, count(DISTINCT store_slug) AS store_count FROM offers JOIN products USING (group_slug) GROUP BY 1 ORDER BY store_count DESC, offer_count DESC, brand LIMIT 12")
 def top_brands(spark, d):
     return stats.top_brands(v.products(spark, d), v.offers(spark, d))
 
 
 @query("""WITH s AS (SELECT brand, count(DISTINCT store_slug) AS store_count FROM offers JOIN cat USING (group_slug) GROUP BY 1)
-SELECT brand, count(*) AS group_count, sum(offer_count)::BIGINT AS offer_count, count(DISTINCT region) AS regions, arg_max(name, (length(name), name)) AS longest_name, any_value(s.store_count) AS store_count
+SELECT replace(lower(brand), '#', '-') AS slug, brand AS name, count(*) AS group_count, sum(offer_count)::BIGINT AS offer_count, count(DISTINCT region) AS regions, any_value(s.store_count) AS store_count
 FROM cat JOIN s USING (brand) GROUP BY brand HAVING count(*) >= 3""")
 def brand_pages(spark, d):
     return stats.brand_pages(v.groups(spark, d), v.offers(spark, d))
@@ -208,7 +208,12 @@ def group_vintages(spark, d):
 _SEARCH = "group_slug, store_count, min_price"
 
 
-@query(f"SELECT {_SEARCH} FROM cat WHERE store_count >= 2 AND in_stock_offer_count >= 1 AND lower(type) = 'promo' AND min_price BETWEEN 1000 AND 3000 AND contains(lower(brand || ' ' || name), 'red') ORDER BY min_price, store_count DESC, group_slug LIMIT 48")
+#: What search takes for a wine, in SQL; names here need no look-ahead.
+_NOT_WINE = wine.NOT_WINE.replace(r"(?!\s+(de\s+)?(la|los|las))", "")
+_WINE = f"NOT (regexp_matches(name, '(?i){_NOT_WINE}') OR regexp_matches(name, '(?i){wine.NOT_WINE_SIZE}'))"
+
+
+@query(f"SELECT {_SEARCH} FROM cat WHERE {_WINE} AND store_count >= 2 AND lower(type) = 'promo' AND min_price BETWEEN 1000 AND 3000 AND contains(lower(brand || ' ' || name), 'red') ORDER BY min_price, store_count DESC, group_slug LIMIT 48")
 def search_filters(spark, d):
     return search.search(v.groups(spark, d), "red", "price-asc", multi=True, in_stock=True, type="Promo", price_min=1000, price_max=3000).select("group_slug", "store_count", "min_price")
 
@@ -223,7 +228,7 @@ def search_relevance(spark, d):
 
 
 def _sorted_sql(order: str) -> str:
-    return f"SELECT {_SEARCH} FROM cat ORDER BY {order} LIMIT 100"
+    return f"SELECT {_SEARCH} FROM cat WHERE {_WINE} ORDER BY {order} LIMIT 100"
 
 
 @query(_sorted_sql("CASE WHEN min_price > 0 THEN min_price END DESC NULLS LAST, store_count DESC, group_slug"))
@@ -276,10 +281,11 @@ def ranking_index(spark, d):
     return search.rankings(v.groups(spark, d), RANKINGS).groupBy("ranking").agg(F.count("*").alias("items"))
 
 
-@query("""WITH s AS (SELECT group_slug, store_count, (max_price - 60000 - min_price) / (max_price - 60000) AS savings FROM cat WHERE store_count >= 3 AND min_price >= 2000 AND max_price - 60000 > min_price)
+@query("""WITH s AS (SELECT group_slug, store_count, (max_price - 60000 - min_price) / (max_price - 60000) AS savings FROM cat WHERE store_count >= 3 AND min_price >= 2000 AND max_price - 60000 > min_price AND group_slug % 5 > 0)
 SELECT group_slug, store_count, round(savings, 4) AS savings FROM s WHERE savings BETWEEN 0.25::DOUBLE AND 0.7::DOUBLE ORDER BY floor(savings * 100) DESC, store_count DESC, s.savings DESC, group_slug LIMIT 24""")
 def top_deals(spark, d):
-    g = v.groups(spark, d).withColumn("max_price", F.col("max_price") - 60000)
+    image = F.when(F.col("group_slug") % 5 == 1, "/a.png").when(F.col("group_slug") % 5 > 1, "/b.png").when(F.col("group_slug") % 10 == 0, "")
+    g = v.groups(spark, d).withColumn("max_price", F.col("max_price") - 60000).withColumn("image_url", image)
     return search.top_deals(g, 24).select("group_slug", "store_count", F.round("savings", 4).alias("savings"))
 
 
@@ -426,7 +432,7 @@ def image_clusters(spark, d):
 
 @query("""WITH c AS (SELECT store_slug, vintage, count(*) AS n FROM offers GROUP BY 1, 2), s AS (SELECT store_slug FROM stores),
 b AS (SELECT s.store_slug, coalesce(p.n, 0) AS before, CASE WHEN s.store_slug % 10 = 0 THEN 0 WHEN s.store_slug % 10 = 1 THEN coalesce(p.n, 0) // 2 ELSE coalesce(c.n, 0) END AS now, s.store_slug % 20 AS e FROM s LEFT JOIN c p ON p.store_slug = s.store_slug AND p.vintage = 1996 LEFT JOIN c ON c.store_slug = s.store_slug AND c.vintage = 1997),
-i AS (SELECT CASE WHEN before >= 50 AND now = 0 THEN 'error:lost' WHEN before >= 30 AND now <= 0.5::DOUBLE * before THEN 'warn:halved' WHEN now = 0 AND e <> 0 THEN 'warn:silent zero' WHEN e = 0 THEN 'warn:errors' END AS issue, store_slug, before, now FROM b),
+i AS (SELECT unnest([CASE WHEN before >= 50 AND now = 0 THEN 'error:lost' END, CASE WHEN before >= 30 AND now > 0 AND now <= 0.5::DOUBLE * before THEN 'warn:halved' END, CASE WHEN now = 0 AND e <> 0 THEN 'warn:silent zero' END, CASE WHEN e = 0 THEN 'warn:errors' END]) AS issue, store_slug, before, now FROM b),
 t AS (SELECT sum(before)::BIGINT AS before, sum(now)::BIGINT AS now FROM b)
 SELECT issue, store_slug, before, now FROM i WHERE issue IS NOT NULL UNION ALL SELECT 'error:total', NULL, before, now FROM t WHERE before >= 1000 AND now <= 0.8::DOUBLE * before""")
 def healthcheck(spark, d):
@@ -512,13 +518,13 @@ def bucket_merge(spark, d):
     return resolve.bucket_merge(g, ["name", "brand", "s"])
 
 
-@query("""WITH o AS (SELECT group_slug, ord, flag AS token FROM offers), n AS (SELECT group_slug, count(*) AS size FROM o GROUP BY 1 HAVING count(*) >= 8),
+@query("""WITH o AS (SELECT group_slug, ord, lower(flag) AS token FROM offers), n AS (SELECT group_slug, count(*) AS size FROM o GROUP BY 1 HAVING count(*) >= 8),
 t AS (SELECT group_slug, token, count(*) AS n FROM o GROUP BY 1, 2), s AS (SELECT group_slug, token, n FROM t JOIN n USING (group_slug) WHERE t.n >= greatest(3, ceil(0.1::DOUBLE * size)) AND t.n <= floor(0.75::DOUBLE * size)),
 g AS (SELECT group_slug FROM s GROUP BY 1 HAVING count(*) >= 2), m AS (SELECT o.group_slug, ord, coalesce(s.token, 'var') AS cluster FROM o JOIN g USING (group_slug) LEFT JOIN s ON s.group_slug = o.group_slug AND s.token = o.token),
 z AS (SELECT group_slug, cluster, count(*) AS n FROM m GROUP BY 1, 2), k AS (SELECT group_slug FROM z WHERE n >= 3 GROUP BY 1 HAVING count(*) >= 2), l AS (SELECT group_slug, arg_min(cluster, (-n, cluster)) AS lead FROM z GROUP BY 1)
 SELECT CASE WHEN cluster = lead THEN group_slug::VARCHAR ELSE group_slug::VARCHAR || '__' || cluster END AS new_slug, count(*) AS n FROM m JOIN k USING (group_slug) JOIN l USING (group_slug) GROUP BY 1""")
 def chimera_split(spark, d):
-    o = v.offers(spark, d).withColumn("tokens", F.array("flag")).withColumn("sku", F.lit(None).cast("string"))
+    o = v.offers(spark, d).withColumn("tokens", F.array(F.lower("flag"))).withColumn("sku", F.lit(None).cast("string"))
     return resolve.split_chimeras(o).groupBy("new_slug").agg(F.count("*").alias("n"))
 
 
@@ -536,9 +542,9 @@ def cheapest_wins(spark, d):
 
 @query("""WITH b AS (SELECT DISTINCT brand FROM listings) SELECT a.brand AS a, b.brand AS b, levenshtein(a.brand, b.brand)::INTEGER AS distance FROM b a JOIN b ON a.brand < b.brand WHERE length(a.brand) >= 5 AND length(b.brand) >= 5 AND levenshtein(a.brand, b.brand) <= greatest(1, greatest(length(a.brand), length(b.brand)) // 10)""")
 def levenshtein_brands(spark, d):
-    # Brands within one or two edits differ in length by as much, and the list of brands is a dimension.
+    # Lengths differ by as much as there may be edits, which is one in ten characters of the longer brand; the list of brands is a dimension.
     b = v.listings(spark, d).select("brand").distinct().where(F.length("brand") >= 5)
-    x = b.select(F.col("brand").alias("a"), F.explode(F.sequence(F.length("brand") - 2, F.length("brand") + 2)).alias("n"))
+    x = b.select(F.col("brand").alias("a"), F.explode(F.sequence(F.floor(F.length("brand") * 0.9) - 1, F.ceil(F.length("brand") / 0.9) + 1)).alias("n"))
     met = x.join(b.select(F.col("brand").alias("b"), F.length("brand").alias("n")), "n").where("a < b")
     limit = F.greatest(F.lit(1), F.floor(F.greatest(F.length("a"), F.length("b")) / 10))
     return met.select("a", "b", F.levenshtein("a", "b").alias("distance")).where(F.col("distance") <= limit)
@@ -547,7 +553,7 @@ def levenshtein_brands(spark, d):
 # -- text ------------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(translate(substr(text, 1, 1000000), 'ßœæøÆØŒ', 'ßœæøÆØŒ'))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def slugify_text(spark, d):
     return v.read(spark, d, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
@@ -659,39 +665,57 @@ def wine_keys(spark, d):
     return _named(spark, d).select("id", wine.canonical_key(F.col("name"), F.col("brand")).alias("key"))
 
 
-_NOT_WINE = wine.NOT_WINE.replace(r"(?!\s+(de\s+)?(la|los|las))", "")  # no name here needs the look-ahead
-
-
 @query(rf"""WITH n AS ({_NAMED}) SELECT id, NOT (regexp_matches(name, '(?i){_NOT_WINE}') OR regexp_matches(name, '(?i){wine.NOT_WINE_SIZE}')) AS is_wine FROM n""")
 def wine_or_not(spark, d):
     return _named(spark, d).select("id", wine.is_wine(F.col("name")).alias("is_wine"))
 
 
-# -- without an SQL twin -------------------------------------------------------------------------------------------------------------
+# -- steps in order, by recursion in SQL ---------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH x AS (SELECT group_slug, ord, (ln(price) - ln(900)) / (ln(110000) - ln(900)) AS x FROM offers WHERE price > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY group_slug ORDER BY x, ord) AS k FROM x),
+r AS (SELECT group_slug, ord, k, 0::BIGINT AS lane, [x] AS ends FROM n WHERE k = 1 UNION ALL
+ SELECT group_slug, ord, k, lane, CASE WHEN lane = len(ends) THEN list_append(ends, x) ELSE list_concat(ends[1:lane], [x], ends[lane + 2:]) END FROM (
+  SELECT n.group_slug, n.ord, n.k, n.x, r.ends, coalesce(list_position([n.x - e >= 0.04::DOUBLE FOR e IN r.ends], true) - 1, len(r.ends))::BIGINT AS lane FROM r JOIN n ON n.group_slug = r.group_slug AND n.k = r.k + 1))
+SELECT group_slug, lane, count(*) AS n FROM r GROUP BY 1, 2""")
 def price_lanes(spark, d):
-    g = v.groups(spark, d).where("min_price > 0")
-    return serving.pack_lanes(g.select("brand", "group_slug", mathx.log_position(F.col("min_price"), F.lit(900.0), F.lit(110000.0)).alias("x")), "brand", "x")
+    rows = v.offers(spark, d).where("price > 0").select("group_slug", "ord", mathx.log_position(F.col("price"), F.lit(900.0), F.lit(110000.0)).alias("x"))
+    rows = rows.select("group_slug", "x", "ord.*")
+    return serving.pack_lanes(rows, "group_slug", "x").groupBy("group_slug", "lane").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH n AS (SELECT "user", ts, event_id, row_number() OVER (PARTITION BY "user" ORDER BY ts, event_id) AS k FROM views),
+r AS (SELECT "user", event_id, k, true AS accepted, [ts] AS times FROM n WHERE k = 1 UNION ALL
+ SELECT "user", event_id, k, len(held) < 3, CASE WHEN len(held) < 3 THEN list_append(held, ts) ELSE held END FROM (
+  SELECT n."user", n.event_id, n.k, n.ts, [t FOR t IN r.times IF t > n.ts - 21600000] AS held FROM r JOIN n ON n."user" = r."user" AND n.k = r.k + 1))
+SELECT event_id, accepted FROM r""")
 def rate_limiter(spark, d):
     from tallymark.streaming.limiter import limit_batch
 
-    return limit_batch(v.views(spark, d).select(F.col("user").cast("string").alias("key"), "ts", "event_id"), most=3, span_ms=6 * 3_600_000)
+    return limit_batch(v.views(spark, d).select(F.col("user").cast("string").alias("key"), "ts", "event_id"), most=3, span_ms=6 * 3_600_000).select("event_id", "accepted")
+
+
+# -- hashes and pages ------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id::VARCHAR AS url, sha256(text)[1:63] AS stem, to_hex(doc_id % 16) AS last FROM documents WHERE text IS NOT NULL),
+f AS (SELECT stem, last, min(url) AS first FROM h GROUP BY 1, 2), n AS (SELECT stem, count(*) - 1 AS links FROM f GROUP BY 1)
+SELECT url, first, links FROM h JOIN f USING (stem, last) JOIN n USING (stem)""")
 def hash_neighbours(spark, d):
-    h = v.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), F.sha2(F.substring("text", 1, 40), 256).alias("hash"))
-    return pairs.near_hashes(h, 10)
+    # Equal texts differ in the last digit alone, by four bits at most.
+    docs = v.read(spark, d, "documents").where("text is not null")
+    h = docs.select(F.col("doc_id").cast("string").alias("url"), F.concat(F.substring(F.sha2("text", 256), 1, 63), F.hex(F.col("doc_id") % 16)).alias("hash"))
+    return pairs.hash_members(h, 10)
 
 
-@query()
+@query("""SELECT 's' AS store_slug, 'p' || page_id::VARCHAR AS name, '1' AS external_sku, CASE WHEN page_id % 3 = 0 THEN 1200.5::DOUBLE ELSE 900.0::DOUBLE END AS price_ars, page_id % 3 = 0 AS in_stock, 'ARS' AS currency FROM pages WHERE page_id % 7 <> 0""")
 def jsonld_products(spark, d):
     from tallymark.sources.payloads import json_ld_products
 
-    pages = v.read(spark, d, "pages").select(F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":"p'), F.col("page_id").cast("string"), F.lit('","sku":"1","offers":{"price":"$ 1200.5","availability":"http://schema.org/InStock"}}</script>'), "html").alias("html"), F.lit("s").alias("store_slug"), "url")
-    return json_ld_products(pages)
+    n = F.col("page_id").cast("string")
+    one = F.concat(F.lit('{"@type":"Product","name":"p'), n, F.lit('","sku":"1","offers":{"price":"$ 1200.5","availability":"http://schema.org/InStock"}}'))
+    listed = F.concat(F.lit('[{"@type":"Thing"},{"mainEntity":{"@type":["Product","Thing"],"name":"p'), n, F.lit('","sku":"1","offers":[{"lowPrice":900}]}}]'))
+    doc = F.when(F.col("page_id") % 7 == 0, F.lit("{broken")).when(F.col("page_id") % 3 == 0, one).otherwise(listed)
+    pages = v.read(spark, d, "pages").select(F.concat(F.lit('<script type="application/ld+json">'), doc, F.lit("</script>"), "html").alias("html"), F.lit("s").alias("store_slug"))
+    return json_ld_products(pages).select("store_slug", "name", "external_sku", "price_ars", "in_stock", "currency")

@@ -152,8 +152,15 @@ def detect_platform(html: Column) -> Column:
 
 
 def crawl_results(products: DataFrame) -> DataFrame:
-    """One row per store and URL, the first seen (`seen_at`, then the row's values), and the store's count."""
+    """One row per store and URL, the first seen (`seen_at`, then the row's values)."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("store_slug", "external_url").orderBy("seen_at", "name", "price_ars")
     return products.withColumn("__tm_n", F.row_number().over(w)).where("__tm_n = 1").drop("__tm_n")
+
+
+def store_counts(products: DataFrame, errors: DataFrame) -> DataFrame:
+    """store_slug, product_count, errors (a count) of a crawl's results and its errors (store_slug, message); stores with errors alone have no product."""
+    counts = products.groupBy("store_slug").agg(F.count("*").alias("product_count"))
+    failed = errors.groupBy("store_slug").agg(F.count("*").alias("errors"))
+    return counts.join(failed, "store_slug", "full").select("store_slug", F.coalesce("product_count", F.lit(0)).alias("product_count"), F.coalesce("errors", F.lit(0)).alias("errors"))

@@ -142,18 +142,26 @@ def test_price_history_edges(spark):
     day = lambda k: f"2024-01-{k:02d}"
     rows = [("six", day(k), 2000.0, 2) for k in range(1, 7)] + [("drop", day(k), 10000.0 if k < 8 else 8500.0, 2) for k in range(1, 9)] + [("small", day(k), 10000.0 if k < 8 else 8600.0, 2) for k in range(1, 9)]
     h = spark.createDataFrame(rows, "slug string, d string, min double, stores long").select("slug", F.to_date("d").alias("date"), "min", "stores")
-    g = spark.createDataFrame([(s, "b", 2, 1) for s in ("six", "drop", "small")], "group_slug string, brand string, store_count long, in_stock_offer_count long")
+    h = h.union(spark.createDataFrame([("gin", day(k), 10000.0 if k < 8 else 5000.0, 2) for k in range(1, 9)], "slug string, d string, min double, stores long").select("slug", F.to_date("d"), "min", "stores"))
+    g = spark.createDataFrame([(s, "b", "Gin seco" if s == "gin" else "Malbec", 2, 1) for s in ("six", "drop", "small", "gin")], "group_slug string, brand string, name string, store_count long, in_stock_offer_count long")
     assert [(r.slug, r.drop_pct) for r in history.price_drops(h, g).collect()] == [("drop", 0.15)]
     assert {r.slug: r.then for r in history.as_of(h).collect()}["drop"] == 10000.0
-    assert history.rolling(h, 3).count() == 9
+    assert history.rolling(h, 3).count() == 12
 
 
 def test_near_hashes_against_all_pairs(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(256) for _ in range(8)]
     rows = [(f"u{k}", f"{base[k % 8] ^ sum(1 << b for b in rng.sample(range(256), k % 13)):064x}") for k in range(40)]
-    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if (int(x, 16) ^ int(y, 16)).bit_count() <= 10}
-    assert {tuple(sorted((r.a, r.b))) for r in pairs.near_hashes(spark.createDataFrame(rows, ["url", "hash"])).collect()} == {tuple(sorted(p)) for p in want}
+    rows += [("v0", rows[0][1]), ("v1", rows[9][1])]
+    first = {}
+    for u, x in sorted(rows):
+        first.setdefault(x, u)
+    assert len(first) < len(rows)
+    want = {tuple(sorted((a, b))) for (x, a), (y, b) in itertools.combinations(first.items(), 2) if (int(x, 16) ^ int(y, 16)).bit_count() <= 10}
+    d = spark.createDataFrame(rows, ["url", "hash"])
+    assert {tuple(sorted((r.a, r.b))) for r in pairs.near_hashes(d).collect()} == want
+    assert {tuple(r) for r in pairs.hash_members(d).collect()} == {(u, first[x], sum(first[x] in p for p in want)) for u, x in rows}
 
 
 def test_resolution_edges(spark):
@@ -219,3 +227,66 @@ def test_perceptual_hash(spark):
     d = spark.createDataFrame([(image,), ([x + 9 for x in image],), ([1.0],), (None,)], "p array<double>")
     a, b, c, e = (r.h for r in d.select(catalogue.perceptual_hash("p").alias("h")).collect())
     assert len(a) == 64 and a == b and c is None and e is None
+
+
+def test_accents_in_any_latin_word(spark):
+    assert one(spark, text.strip_accents(F.col("s")), s="Torrontés ő ş Ñ ñ") == "Torrontes o s N n"
+    assert one(spark, text.slugify(F.col("s")), s="Gyöngyös & Şile") == "gyongyos-sile"
+
+
+def test_brand_names(spark):
+    rows = [("Bodega Catena Zapata", "catena zapata", "Catena Zapata", "catena-zapata"), ("SALENTEIN", "salentein", "Salentein", "salentein"), ("casa de la uva ii", "casa de la uva ii", "Casa de la Uva II", "casa-de-la-uva-ii"), ("Bodegas  Ñandú", "ñandú", "Bodegas  Ñandú", "nandu"), ("&", "&", "&", None)]
+    d = spark.createDataFrame([(r[0],) for r in rows], "b string")
+    got = d.select("b", wine.brand_key(F.col("b")), wine.display_brand(F.col("b")), wine.brand_slug(F.col("b"))).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
+
+
+def test_brand_agreement(spark):
+    cases = [(["catena"], True), (["catena", "catena zapata"], True), (["veuve cliquot", "veuve clicquot"], True), (["otornia", "otronia"], False), (["abcd", "abce"], False), (["norton", "trapiche"], False), (["a b", "a", "a b c"], True)]
+    d = spark.createDataFrame(cases, "brands array<string>, want boolean")
+    assert all(r.want == r.got for r in d.withColumn("got", resolve.brands_agree(F.col("brands"))).collect())
+
+
+def test_bucket_merge_of_bad_and_wrapping_brands(spark):
+    rows = [("a", "k", "Catena", None, 3), ("b", "k", "catena zapata", None, 5), ("c", "k", "Varios", None, 1), ("d", "m", "Norton", None, 1), ("e", "m", "Trapiche", None, 1)]
+    g = spark.createDataFrame(rows, "group_slug string, name string, brand string, vintage int, store_count int")
+    bad = spark.createDataFrame([("VARIOS",)], ["brand"])
+    assert {(r.group_slug, r.merged_into) for r in resolve.bucket_merge(g, ["name"], bad).collect()} == {(x, "b") for x in "abc"}
+    assert resolve.bucket_merge(g, ["name"]).count() == 0
+
+
+def test_chimeras_and_product_numbers(spark):
+    rows = [("g", k, ["Malbec-Reserva Especial"] if k < 4 else ["syrah"] if k < 8 else [], "7790000000001" if k in (0, 1) else "own") for k in range(10)]
+    o = lambda rows: spark.createDataFrame(rows, "group_slug string, ord int, tokens array<string>, sku string")
+    got = {r["ord"]: r.new_slug for r in resolve.split_chimeras(o(rows)).collect()}
+    assert got[0] == "g" and got[4] == "g__syrah" and got[9] == "g__var"  # a SKU that is no product number doesn't tie clusters
+    tied = [(g, k, t, "7790000000001" if k in (0, 5) else s) for g, k, t, s in rows]
+    assert resolve.split_chimeras(o(tied)).count() == 0
+
+
+def test_health_says_all_that_is_wrong(spark):
+    before = spark.createDataFrame([("a", 100), ("b", 40), ("c", 10), ("e", 900)], "store_slug string, product_count long")
+    now = spark.createDataFrame([("a", 0, 0), ("b", 20, 2), ("c", 10, 0), ("d", 0, 0), ("e", 10, 0)], "store_slug string, product_count long, errors int")
+    got = {(r.issue, r.store_slug) for r in pairs.health(before, now).collect()}
+    assert got == {("error:lost", "a"), ("warn:silent zero", "a"), ("warn:errors", "b"), ("warn:halved", "b"), ("warn:silent zero", "d"), ("warn:halved", "e"), ("error:total", None)}
+
+
+def test_search_passes_over_what_is_no_wine(spark):
+    rows = [("w", "Torrontés Dulce", "Ñandú", ["Torrontés"]), ("x", "Cerveza Torrontés", None, []), ("y", "Malbec", "Otra", ["Malbec"])]
+    g = spark.createDataFrame([(*r, 5, 5.0, 9.0, "Blanco", None, 1) for r in rows], "group_slug string, name string, brand string, varietals array<string>, store_count int, min_price double, max_price double, type string, region string, in_stock_offer_count int")
+    found = lambda q, **o: {r.group_slug for r in search.search(g, q, **o).collect()}
+    assert found("torrontés") == found("torrontes") == found("ñandu TORRONTES") == {"w"}
+    assert found("") == {"w", "y"} and found("", varietal="malbec") == {"y"}
+    assert search.autocomplete(g, "t").count() == 0 and search.autocomplete(g, "to").count() == 1
+
+
+def test_ranking_sections_keep_empty_lists(spark):
+    ranked = spark.createDataFrame([("top-salta", 1), ("top-bonardas", 1), ("top-salta", 2)], "ranking string, position int")
+    got = {r.ranking: (r.section, r["items"]) for r in search.ranking_index(ranked, search.WINE_RANKINGS).collect()}
+    assert len(got) == 21 and got["top-salta"] == ("regions", 2) and got["top-bonardas"] == ("others", 1) and got["top-rutini"] == ("producers", 0)
+
+
+def test_store_counts(spark):
+    p = spark.createDataFrame([("a", "u"), ("a", "v")], "store_slug string, external_url string")
+    e = spark.createDataFrame([("b", "timeout"), ("b", "404")], "store_slug string, message string")
+    assert {tuple(r) for r in payloads.store_counts(p, e).collect()} == {("a", 2, 0), ("b", 0, 2)}
