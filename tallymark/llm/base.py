@@ -2,8 +2,8 @@
 
 Conventions, for every operator of this package:
 
-* Only the columns an operator names are read; other columns may hold anything and never clash, since internal
-  columns begin with `__tm_`.
+* Only the columns an operator names are read; other columns may hold anything and bear any name, since operators that return whole rows carry them in
+  one struct.
 * A null text counts as the empty text; a null doc_id, lang or source is a value of its own, equal to other nulls.
 * Words are `[^\\x20\\x09-\\x0D]+`, which is exactly what bytes.split() yields on UTF-8.
 """
@@ -72,12 +72,17 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def long_id(name: str = "doc_id") -> Column:
-    return F.col(name).cast("long")
+def packed(documents: DataFrame) -> DataFrame:
+    """row (a struct of all columns), doc_id, text, source: no column of the table can clash with what is added to these."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in documents.columns]).alias("row")
+    return documents.select(row, *[(F.col(f"`{n}`") if n in documents.columns else F.lit(None)).cast(kind).alias(n) for n, kind in (("doc_id", "long"), ("text", "string"), ("source", "string"))])
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+def unpacked(rows: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The table's columns again, those in `new` replaced."""
+    new = new or {}
+    names = rows.schema["row"].dataType.names
+    return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallymark.session import staged
 
-from .base import pick, text_slices, texts_of
+from .base import packed, pick, text_slices, texts_of, unpacked
 
 MIN_WORDS = 25
 
@@ -113,33 +113,32 @@ def cut(text: str, runs: list) -> tuple[str, int]:
 
 
 def _cut_documents(documents: DataFrame) -> DataFrame:
-    """`documents` with __tm_cut: the text left and the number of lines deleted, null where nothing is."""
-    runs = repeated_runs(documents).select(F.col("doc_id").alias("__tm_doc"), F.col("tkey").alias("__tm_tkey"), F.col("runs").alias("__tm_runs"))
+    """row, doc_id, text of each document, and cut: the text left and the number of lines deleted, null where nothing is."""
+    runs = repeated_runs(documents).select(F.col("doc_id").alias("run_doc"), F.col("tkey").alias("run_tkey"), "runs")
 
     @F.arrow_udf("text string, n int")
     def cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        done = [cut(t or "", r) if r else None for t, r in zip(texts.to_pylist(), spans.to_pylist())]
+        done = [cut(t.as_py() or "", r.as_py()) if r.is_valid else None for t, r in zip(texts, spans)]
         return pa.array([None if d is None else {"text": d[0], "n": d[1]} for d in done], pa.struct([("text", pa.string()), ("n", pa.int32())]))
 
-    text = F.col("text").cast("string")
-    keyed = documents.withColumn("__tm_key", text_key(text))
-    joined = keyed.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__tm_doc")) & (F.col("__tm_key") == F.col("__tm_tkey")), "left")
-    return joined.withColumn("__tm_cut", F.when(F.col("__tm_runs").isNotNull(), cut_text(text, F.col("__tm_runs"))))
+    joined = packed(documents).join(runs, F.col("doc_id").eqNullSafe(F.col("run_doc")) & (text_key(F.col("text")) == F.col("run_tkey")), "left")
+    return joined.select("row", "doc_id", "text", F.when(F.col("runs").isNotNull(), cut_text(F.col("text"), F.col("runs"))).alias("cut"))
 
 
 def line_report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_lines_deleted, kept_sha256 (of the text that stays) of each document."""
     rows = _cut_documents(pick(documents, "doc_id", "text"))
-    left = F.coalesce(F.col("__tm_cut.text"), F.col("text"), F.lit(""))
+    left = F.coalesce(F.col("cut.text"), F.col("text"), F.lit(""))
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return rows.select("doc_id", lines.cast("long").alias("n_lines"), F.coalesce(F.col("__tm_cut.n"), F.lit(0)).cast("long").alias("n_lines_deleted"), F.sha2(left, 256).alias("kept_sha256"))
+    return rows.select("doc_id", lines.cast("long").alias("n_lines"), F.coalesce(F.col("cut.n"), F.lit(0)).cast("long").alias("n_lines_deleted"), F.sha2(left, 256).alias("kept_sha256"))
 
 
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     """The documents without later copies of repeated runs; n_chars follows the text, and a document of which no word is left goes."""
     rows = _cut_documents(documents)
-    text = F.coalesce(F.col("__tm_cut.text"), F.col("text").cast("string"))
-    emptied = F.col("__tm_cut").isNotNull() & ~F.col("__tm_cut.text").rlike(r"[^\x20\x09-\x0D]")
-    out = rows.where(~F.coalesce(emptied, F.lit(False)))
-    new = {"text": text} | ({"n_chars": F.when(F.col("__tm_cut").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in documents.columns else {})
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
+    text = F.coalesce(F.col("cut.text"), F.col("text"))
+    emptied = F.col("cut").isNotNull() & ~F.col("cut.text").rlike(r"[^\x20\x09-\x0D]")
+    new = {"text": text}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(F.col("cut").isNotNull(), F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(rows.where(~F.coalesce(emptied, F.lit(False))), new)

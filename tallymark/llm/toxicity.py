@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordHashes, mix64, pick, text_slices, texts_of
+from .base import WordHashes, mix64, packed, pick, text_slices, texts_of, unpacked
 
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _PARTS = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -153,4 +153,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, settings: Settings = Setti
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, settings: Settings = Settings()) -> DataFrame:
     """The documents that score below `threshold`, with their columns as they were."""
     weights = train(documents, labels, settings)
-    return score(documents, weights, "__tm_toxicity", settings).where(F.col("__tm_toxicity") < threshold).drop("__tm_toxicity")
+    return unpacked(score(packed(documents), weights, settings=settings).where(F.col("score") < threshold))
