@@ -9,7 +9,7 @@ list can reach, the list's rows are scored exactly and ranked. A query that gain
 
 Queries and rows are dealt into a grid of cells of bounded size; each cell yields at most k rows a query and a window over those picks the answer.
 
-Edge cases: vectors that are null, hold a null or a non-finite component, or differ in length from the cell's longest take no part. A row
+Edge cases: vectors that are null, empty, or hold a null or a non-finite component take no part. A query meets the vectors of its own length. A row
 never answers its own query (equal vec_id); ties go to the smaller vec_id. Rows that share a vec_id are rows of their own.
 """
 
@@ -102,18 +102,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "v
     is_query = F.col("vec_id") % every == 0
     n, q = rows.agg(F.count("*"), F.count_if(is_query)).first()
     g, r = max(1, math.ceil(n / rows_per_cell)), max(1, math.ceil(q / queries_per_cell))
-    left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(g)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("r"), F.lit(False).alias("query"), "vec_id", "v")
-    right = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(r)).cast("int").alias("r"), F.lit(True).alias("query"), "vec_id", "v")
+    rows = rows.withColumn("length", F.size("v"))
+    left = rows.select("length", F.pmod(F.xxhash64("vec_id"), F.lit(g)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("r"), F.lit(False).alias("query"), "vec_id", "v")
+    right = rows.where(is_query).select("length", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(r)).cast("int").alias("r"), F.lit(True).alias("query"), "vec_id", "v")
 
     def cell(table: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = [], [], []
         ids, column = table.column("vec_id").to_numpy(), table.column("v").combine_chunks()
-        sizes = np.diff(column.offsets.to_numpy())
-        fits = sizes == sizes.max()
-        flat = column.values.to_numpy(zero_copy_only=False)[column.offsets.to_numpy()[0] :]
-        matrix = flat[np.repeat(fits, sizes)].reshape(int(fits.sum()), -1).astype(np.int64)
-        query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)[fits]
-        ids = ids[fits]
+        matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.int64)
+        query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
         if query.any() and not query.all():
             index = ImpactIndex(ids[~query], matrix[~query])
             for query_id, found, scores in index.search(ids[query], matrix[query], k):
@@ -122,7 +119,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "v
                 out[2].extend(scores.tolist())
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
-    found = left.unionByName(right).groupBy("g", "r").applyInArrow(cell, "query_id long, vec_id long, score long")
+    found = left.unionByName(right).groupBy("length", "g", "r").applyInArrow(cell, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows a cell of the query's line
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
