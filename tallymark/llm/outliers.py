@@ -7,11 +7,11 @@ chi-square quantile are rejected.
 The MCD runs on all documents that pass the base. Transformed counts are fixed-point integers, so every sum is exact and reruns
 agree. A concentration step is one pass that sums moments by (group, start, distance bin); cumulating the bins up to the share
 `SHARE` of the group gives the next mean and scatter, so no group meets in one task and nothing but moments
-is shuffled. Two starts (all documents; medians and quartile ranges) are concentrated and the one of smaller determinant is
-reweighted. A variance floor keeps the scatter regular where a count is zero in most documents.
+is shuffled. Two starts (all documents; medians and quartile ranges) are concentrated until no determinant falls any more, `STEPS` times at most, and the
+one of smaller determinant is reweighted. A variance floor keeps the scatter regular where a count is zero in most documents.
 
-A group of fewer than `LEAST` fitted documents is judged by its language as a whole, a language of fewer by the estimate over all
-documents, which needs no least number.
+One rule judges all: a group's location and scatter are drawn towards those of its language, and these towards the estimate over all documents, as if each had
+`PRIOR` documents of the wider one; so a large group is judged by its own estimate, a small one mostly by the wider ones.
 Edge cases: a null or empty text has all counts 0 and fails the base. Null lang and null source are groups of their own. Repeated
 rows and ids are judged each for itself.
 """
@@ -31,13 +31,15 @@ from tallymark.session import staged
 from .base import SPACES, pick, text_slices, texts_of
 
 SYMBOLS = "#*$%&|<>"
-SHARE, LEAST, STEPS, QUANTILE = 0.75, 200, 4, 0.9995
+SHARE, PRIOR, STEPS, QUANTILE = 0.75, 200, 8, 0.9995
 P, ONE = 5, 4096
 #: The least standard deviation of each coordinate, in its own units.
 FLOOR = (0.35, 0.06, 0.5, 0.5, 0.5)
 BINS = 1024
 #: Files of a table of states, which has a row per group and start.
 FILES = 4
+#: Sums are taken in so many parts, which only meet as Python's integers: a sum of 64 bits holds 10**9 rows of the largest product.
+PARTS = 64
 
 
 def counts(text: str) -> tuple[int, int, int, int, int]:
@@ -148,18 +150,23 @@ def _sums(row) -> tuple[np.ndarray, np.ndarray]:
 
 def concentrate(rows, share: float, limit: int | None = None) -> dict:
     """The next state of a group from its moments by bin, over the innermost bins that hold `share` of it or lie below bin `limit`."""
-    rows = rows.sort_values("bin")
-    n = rows["n"].cumsum().to_numpy()
+    by_bin = rows.groupby("bin")["n"].sum().sort_index()
+    n = by_bin.cumsum().to_numpy()
     fitted = int(n[-1])
-    last = int(np.searchsorted(n, math.ceil(share * fitted))) if limit is None else max(0, int(np.searchsorted(rows["bin"].to_numpy(), limit)) - 1)
-    # Python's integers: sums over bins may leave 64 bits.
-    inner = dict(zip(_MOMENTS, rows[_MOMENTS].to_numpy(dtype=object)[: last + 1].sum(axis=0)))
+    last = int(np.searchsorted(n, math.ceil(share * fitted))) if limit is None else max(0, int(np.searchsorted(by_bin.index.to_numpy(), limit)) - 1)
+    inside = rows[rows["bin"] <= by_bin.index[last]]
+    # Python's integers: sums over bins and parts may leave 64 bits.
+    inner = dict(zip(_MOMENTS, inside[_MOMENTS].to_numpy(dtype=object).sum(axis=0)))
     s, ss = _sums(inner)
     used = int(inner["n"])
     factor = consistency(used / fitted) if limit is None else consistency(0.975)
     return state(rows["key"].iloc[0], int(rows["start"].iloc[0]), fitted, used, s, ss, factor)
 
 
+def _part() -> Column:
+    return F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part")
+
+
 def distance() -> Column:
     """Squared Mahalanobis distance of x0.. from the state's m.. and w..."""
     d = [F.col(f"x{i}") / ONE - F.col(f"m{i}") for i in range(P)]
@@ -185,7 +192,7 @@ def _kept(states: DataFrame) -> DataFrame:
 def _step(rows: DataFrame, states: DataFrame, share: float, limit: int | None = None) -> DataFrame:
     sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS]]
     binned = rows.join(states, "key").withColumn("bin", _bin(distance()))
-    moments = binned.groupBy("key", "start", "bin").agg(*sums)
+    moments = binned.groupBy("key", "start", "bin", _part()).agg(*sums)
 
     def solve(pdf):
         import pandas as pd
@@ -198,15 +205,15 @@ def _step(rows: DataFrame, states: DataFrame, share: float, limit: int | None =
 def _starts(rows: DataFrame) -> DataFrame:
     """Start 0: mean and scatter of all rows of a group. Start 1: medians and quartile ranges, from exact histograms."""
     sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS]]
-    whole = rows.groupBy("key").agg(*sums)
+    whole = rows.groupBy("key", _part()).agg(*sums)
     cells = rows.select("key", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") / 64) for i in range(P)])).alias("i", "cell")).groupBy("key", "i", "cell").agg(F.count("*").alias("n"))
 
     def first(pdf):
         import pandas as pd
 
-        r = pdf.iloc[0].astype(object)
+        r = dict(zip(_MOMENTS, pdf[_MOMENTS].to_numpy(dtype=object).sum(axis=0)))
         s, ss = _sums(r)
-        return pd.DataFrame([state(r["key"], 0, int(r["n"]), int(r["n"]), s, ss, 1.0)])
+        return pd.DataFrame([state(pdf["key"].iloc[0], 0, int(r["n"]), int(r["n"]), s, ss, 1.0)])
 
     def second(pdf):
         import pandas as pd
@@ -228,28 +235,54 @@ def _starts(rows: DataFrame) -> DataFrame:
 def estimates(rows: DataFrame) -> DataFrame:
     """The reweighted MCD state of every group key in `rows` (key, x0..)."""
     states = _starts(rows)
-    for _ in range(STEPS):
-        states = _step(rows, states, SHARE)
+    for k in range(STEPS):
+        before, states = states, _step(rows, states, SHARE)
+        fell = states.select("key", "start", F.col("det").alias("now")).join(before.select("key", "start", "det"), ["key", "start"]).where("now < det - 1e-4")
+        if k and fell.isEmpty():  # the first step goes from a share of one to `SHARE`
+            break
     best = states.groupBy("key").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
     states = _kept(states.join(best, ["key", "start"]))
     return _step(rows, states, SHARE, limit=_bin_of(quantile(0.975, P)))
 
 
+def drawn(levels: list[dict]) -> dict:
+    """Location and inverse scatter of a group (`levels`: its own state, its language's, that of all), each level drawn towards the next."""
+    mean = scatter = None
+    for r in reversed(levels):
+        own_mean, w = np.array([r[f"m{i}"] for i in range(P)]), np.zeros((P, P))
+        for i, j in _PAIRS:
+            w[i, j] = w[j, i] = r[f"w{i}{j}"] / (1 if i == j else 2)
+        own = np.linalg.inv(w)
+        share = 1.0 if mean is None else r["fitted"] / (r["fitted"] + PRIOR)
+        mean = own_mean if mean is None else share * own_mean + (1 - share) * mean
+        scatter = own if scatter is None else share * own + (1 - share) * scatter
+    inverse = np.linalg.inv(scatter)
+    return {f"m{i}": mean[i] for i in range(P)} | {f"w{i}{j}": inverse[i, j] * (1 if i == j else 2) for i, j in _PAIRS}
+
+
+def judges(groups: DataFrame, states: DataFrame) -> DataFrame:
+    """own, m0.., w00..: what each group (own, pool, whole) is judged by; one row a group."""
+    columns = ["fitted", *[f"m{i}" for i in range(P)], *[f"w{i}{j}" for i, j in _PAIRS]]
+    for side in ("own", "pool", "whole"):
+        groups = groups.join(states.select(F.col("key").alias(side), F.struct(*columns).alias(f"{side}_state")), side)
+
+    def run(frames: Iterator):
+        import pandas as pd
+
+        for pdf in frames:
+            yield pd.DataFrame([{"own": r.own} | drawn([r.own_state, r.pool_state, r.whole_state]) for r in pdf.itertuples()], columns=["own", *columns[1:]])
+
+    return groups.mapInPandas(run, "own string, " + ", ".join(f"{c} double" for c in columns[1:]))
+
+
 def quality(documents: DataFrame, cutoff: float = QUANTILE) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and distance (squared; null where no document passes the base) of each document."""
+    """doc_id, the counts, base_failed, kept and distance (squared; null where the base fails) of each document."""
     key = lambda pooled: F.to_json(F.struct("lang", *([] if pooled else ["source"]), F.lit(pooled).alias("pooled")))
     rows = staged(measure(documents).select("*", key(False).alias("own"), key(True).alias("pool"), F.lit("all").alias("whole"), *_vector()), "quality")
     names = [f"x{i}" for i in range(P)]
     passed = rows.where("not base_failed")
-    fit = passed.select(F.explode(F.array("own", "pool", "whole")).alias("key"), *names)
-    found = _kept(estimates(fit).where((F.col("fitted") >= LEAST) | (F.col("key") == "all")))
-    # A document's judge: its group's estimate, else its language's, else that of all documents, which is one row.
-    slim = found.drop("start", "det", "fitted")
-    renamed = lambda side: slim.withColumnsRenamed({c: f"{side}_{c}" for c in slim.columns})
-    joined = rows.join(renamed("own"), F.col("own") == F.col("own_key"), "left").join(renamed("pool"), F.col("pool") == F.col("pool_key"), "left")
-    joined = joined.join(F.broadcast(renamed("whole").where("whole_key = 'all'")), F.col("whole") == F.col("whole_key"), "left")
-    coordinates = [c for c in slim.columns if c != "key"]
-    judge = lambda c: F.when(F.col("own_key").isNotNull(), F.col(f"own_{c}")).when(F.col("pool_key").isNotNull(), F.col(f"pool_{c}")).otherwise(F.col(f"whole_{c}"))
-    judged = joined.select(*rows.columns, *[judge(c).alias(c) for c in coordinates]).withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))
+    found = estimates(passed.select(F.explode(F.array("own", "pool", "whole")).alias("key"), *names))
+    judge = _kept(judges(passed.select("own", "pool", "whole").distinct(), found)).withColumnRenamed("own", "judged")
+    judged = rows.join(judge, (F.col("own") == F.col("judged")) & ~F.col("base_failed"), "left").withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))
     kept = ~F.col("base_failed") & (F.col("distance") <= quantile(cutoff, P))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "distance")
