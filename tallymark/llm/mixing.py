@@ -6,11 +6,12 @@ many words as the input has; a target stops at `most` times its source's size an
 source's target is met by complete epochs of all its documents, then by the documents of smallest key until the next one
 would move the sum away from the target.
 
+Documents are ordered by key, doc_id (null first) and size; rows equal in all three are interchangeable, and as many of them enter as fit.
 No task sees a whole source: keys are counted in 65,536 bins, prefix sums over a source's bins find the one in which
 its budget ends, and only that bin is sorted. What comes back to the documents is one row a source.
 
 Edge cases: a null or empty text has size 0 and takes 0 words. Null is a source like any other, and a null doc_id draws the key of an
-id of its own. Rows that share a doc_id share a key: those of the same source enter together, and each counts. A source without words has target 0.
+id of its own. Rows that share a doc_id and the quality of their text share a key; each counts for itself. A source without words has target 0.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallymark.session import staged
 
-from .base import WORD
+from .base import WORD, packed, unpacked
 
 BINS = 65_536
 
@@ -76,23 +77,41 @@ def plan(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
     cut = bins.join(other, F.col("source").eqNullSafe(F.col("__tm_source"))).where((F.col("rest") > 0) & (F.col("before") < F.col("rest")))
     cut = staged(cut.groupBy(F.col("__tm_source").alias("cut_source")).agg(F.max("bin").alias("cut_bin"), F.max_by("before", "bin").alias("before"), F.max("rest").alias("rest")), "mix-cut")
     edge = sizes.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (_bin(F.col("key")) == F.col("cut_bin")))
-    edge = edge.groupBy("cut_source", "before", "rest", "key", "doc_id").agg(F.sum("size").alias("size"))
-    run = Window.partitionBy("cut_source").orderBy("key", "doc_id")
-    edge = edge.withColumn("at", F.col("before") + F.sum("size").over(run) - F.col("size")).where(2 * F.col("at") + F.col("size") < 2 * F.col("rest"))
-    edge = edge.groupBy("cut_source").agg(F.max("key").alias("last_key"), F.max_by("doc_id", F.struct("key", "doc_id")).alias("last_id"))
-    marks = cut.select("cut_source", "cut_bin").join(edge.withColumnRenamed("cut_source", "edge_source"), F.col("cut_source").eqNullSafe(F.col("edge_source")), "left")
+    edge = edge.groupBy("cut_source", "before", "rest", "key", "doc_id", "size").agg(F.count("*").alias("equal"))
+    run = Window.partitionBy("cut_source").orderBy("key", "doc_id", "size")
+    room = 2 * F.col("rest") - 2 * F.col("at") - F.col("size")
+    fitting = F.when(room <= 0, 0).when(F.col("size") == 0, F.col("equal")).otherwise(F.least(F.col("equal"), F.ceil(room / (2 * F.col("size")))))
+    edge = edge.withColumn("at", F.col("before") + F.sum(F.col("size") * F.col("equal")).over(run) - F.col("size") * F.col("equal")).withColumn("fitting", fitting.cast("long")).where("fitting > 0")
+    last = F.struct("key", "doc_id", "size", "fitting", "equal")
+    edge = edge.groupBy("cut_source").agg(F.max_by(last, F.struct("key", "doc_id", "size")).alias("last"))
+    edge = edge.select(F.col("cut_source").alias("edge_source"), *[F.col(f"last.{c}").alias(f"last_{n}") for c, n in (("key", "key"), ("doc_id", "id"), ("size", "size"), ("fitting", "fitting"), ("equal", "equal"))])
+    marks = cut.select("cut_source", "cut_bin").join(edge, F.col("cut_source").eqNullSafe(F.col("edge_source")), "left")
     out = goal.join(marks, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    return staged(out.select("source", "source_size", "target", "epochs", "cut_bin", "last_key", "last_id"), "mix-plan")
+    return staged(out.select("source", "source_size", "target", "epochs", "cut_bin", *_LAST), "mix-plan")
+
+
+_LAST = ["last_key", "last_id", "last_size", "last_fitting", "last_equal"]
 
 
 def _copies(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """`rows` (with source, key, doc_id) and how often the mix takes each: __tm_copies."""
-    at = found.withColumnRenamed("source", "__tm_source").withColumnsRenamed({c: f"__tm_{c}" for c in ("source_size", "target", "epochs", "cut_bin", "last_key", "last_id")})
-    key, own = F.col("__tm_key"), _bin(F.col("__tm_key"))
-    # Null ids sort first, as in the window above.
-    id_ok = F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") <= F.col("__tm_last_id"), F.lit(False))
-    within = (own < F.col("__tm_cut_bin")) | ((own == F.col("__tm_cut_bin")) & ((key < F.col("__tm_last_key")) | ((key == F.col("__tm_last_key")) & id_ok)))
-    return rows.join(at, F.col("source").eqNullSafe(F.col("__tm_source"))).withColumn("__tm_copies", F.col("__tm_epochs") + F.coalesce(within, F.lit(False)).cast("long"))
+    """`rows` (with source, doc_id, __tm_key and __tm_size) and how often the mix takes each: __tm_copies.
+
+    Where more rows equal a source's last one than fit, those rows alone are numbered; no others are shuffled.
+    """
+    at = found.withColumnRenamed("source", "__tm_source").withColumnsRenamed({c: f"__tm_{c}" for c in ("source_size", "target", "epochs", "cut_bin", *_LAST)})
+    key, own, place = F.col("__tm_key"), _bin(F.col("__tm_key")), lambda x: F.struct(x("key"), x("id"), x("size"))
+    here = place(lambda c: F.col("doc_id").cast("long") if c == "id" else F.col(f"__tm_{c}"))
+    last = place(lambda c: F.col(f"__tm_last_{c}"))
+    in_bin = (own == F.col("__tm_cut_bin")) & F.col("__tm_last_key").isNotNull()
+    joined = rows.join(at, F.col("source").cast("string").eqNullSafe(F.col("__tm_source")))
+    within = F.coalesce((own < F.col("__tm_cut_bin")) | (in_bin & (here <= last)), F.lit(False))
+    if found.where("last_fitting < last_equal").isEmpty():
+        return joined.withColumn("__tm_copies", F.col("__tm_epochs") + within.cast("long"))
+    tied = F.coalesce(in_bin & (here == last) & (F.col("__tm_last_fitting") < F.col("__tm_last_equal")), F.lit(False))
+    number = F.row_number().over(Window.partitionBy("__tm_source").orderBy("__tm_key"))
+    some = joined.where(tied).withColumn("__tm_number", number)
+    some = some.withColumn("__tm_copies", F.col("__tm_epochs") + (F.col("__tm_number") <= F.col("__tm_last_fitting")).cast("long")).drop("__tm_number")
+    return joined.where(~tied).withColumn("__tm_copies", F.col("__tm_epochs") + within.cast("long")).unionByName(some)
 
 
 def _measured(documents: DataFrame) -> DataFrame:
@@ -104,16 +123,16 @@ def _measured(documents: DataFrame) -> DataFrame:
 def taken(documents: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken of each document."""
     sizes = _measured(documents)
-    rows = _copies(sizes.withColumnRenamed("key", "__tm_key"), plan(sizes, weights, most))
+    rows = _copies(sizes.withColumn("__tm_size", F.col("size")).withColumnRenamed("key", "__tm_key"), plan(sizes, weights, most))
     return rows.select("doc_id", "size", F.col("__tm_source_size").alias("source_size"), F.col("__tm_target").alias("target"), (F.col("size") * F.col("__tm_copies")).alias("taken"))
 
 
 def mix(documents: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it, with their columns as they were; no shuffle of texts."""
     found = plan(_measured(documents), weights, most)
-    keyed = documents.withColumn("__tm_key", key_of(F.col("doc_id").cast("long"), quality_of(F.col("text").cast("string"))))
+    keyed = packed(documents).withColumn("__tm_size", size_of(F.col("text"))).withColumn("__tm_key", key_of(F.col("doc_id"), quality_of(F.col("text"))))
     rows = _copies(keyed, found).where(F.col("__tm_copies") > 0)
-    return rows.withColumn("__tm_copy", F.explode(F.sequence(F.lit(1), F.col("__tm_copies").cast("int")))).select(*[f"`{c}`" for c in documents.columns])
+    return unpacked(rows.withColumn("__tm_copy", F.explode(F.sequence(F.lit(1), F.col("__tm_copies").cast("int")))))
 
 
 SQL = r"""
@@ -144,7 +163,7 @@ split AS (
   SELECT source, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM goal),
 placed AS (
   SELECT k.doc_id, k.size, s.source_size, s.target, s.epochs, s.target - s.epochs * s.source_size AS rest,
-         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - k.size AS ahead
+         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS FIRST, k.size ROWS UNBOUNDED PRECEDING) - k.size AS ahead
   FROM keyed k JOIN split s ON k.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN rest > 0 AND 2 * ahead + size < 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
