@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tallymark.operators.graph import connected_components
 from tallymark.session import staged
 
-from .base import WordHashes, mix64, pick, text_slices, texts_of
+from .base import WordHashes, mix64, packed, pick, text_slices, texts_of, unpacked
 
 WORDS = 5
 COORDINATES = 64
@@ -234,7 +234,7 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
 def links(classes: DataFrame, documents: DataFrame, percent: int = 75, agreeing: int = MATCHES) -> DataFrame:
     """src, dst: links between class representatives whose components are those of all links."""
     members = staged(posted_members(classes, agreeing), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")  # by itself, so that Spark sees how small it is
     sets = staged(full_sets(documents.join(wanted, "doc_id", "left_semi")), "sets")
     lists = staged(members.select("rep", "centre", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - agreeing + 1)).alias("token")).distinct(), "lists")
 
@@ -274,5 +274,6 @@ def near_duplicates(documents: DataFrame, percent: int = 75, agreeing: int = MAT
 
 def drop_near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     """One document of each component, the one of smallest doc_id, with its columns as they were; of rows that share a doc_id and are equal in text one stays."""
-    found = near_duplicates(documents, percent).where("kept").select(F.col("doc_id").alias("__tm_id")).distinct()
-    return documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__tm_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = near_duplicates(documents, percent).where("kept").select(F.col("doc_id").alias("found")).distinct()
+    rows = packed(documents).join(found, F.col("doc_id").eqNullSafe(F.col("found")), "left_semi")
+    return unpacked(rows.dropDuplicates(["doc_id", "text"]))
