@@ -29,9 +29,11 @@ def build(master: str = "local[8]", app: str = "tallymark", partitions: int = 8,
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode only, a temporary one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tallymark-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -39,7 +41,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; it is deleted when the driver's Python ends."""
+    """A fresh path below the shared folder; it is deleted by `clean`, or when the driver's Python ends."""
     path = f"{scratch_dir(spark)}/tallymark-{tag}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -59,8 +61,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def clean() -> None:
+    """Delete what was staged so far. A session that runs many queries calls this once it has taken their results."""
+    while _written:
+        spark, path = _written.pop()
         try:
             delete_path(spark, path)
         except Exception:  # the JVM may have ended first

@@ -1,6 +1,7 @@
 """Operators against small brute-force versions and worked cases."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -290,3 +291,13 @@ def test_store_counts(spark):
     p = spark.createDataFrame([("a", "u"), ("a", "v")], "store_slug string, external_url string")
     e = spark.createDataFrame([("b", "timeout"), ("b", "404")], "store_slug string, message string")
     assert {tuple(r) for r in payloads.store_counts(p, e).collect()} == {("a", 2, 0), ("b", 0, 2)}
+
+
+def test_staged_files_go(spark):
+    from tallymark import session
+
+    df = session.staged(spark.range(5), "test")
+    path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(path)
+    session.clean()
+    assert not os.path.exists(path)
