@@ -83,6 +83,9 @@ class PieceModel:
         self.spaced = np.array([p.startswith(SPACE) and not special[i] for i, p in enumerate(names)])
         self.silent = np.array([sp.is_control(i) for i in range(size)])
         self.remember, self.known = remember, _Known()
+        probe = "A  word,\n\tand another's; É 漢 😀 aaaa 12"
+        if self.encode([probe])[0].tolist() != [self.bos, *sp.encode(probe), self.eos]:
+            raise ValueError(f"{path}: a normaliser or a rule that these merge rounds don't know")
 
     # -- encoding ------------------------------------------------------------------------------------------------
 

@@ -52,6 +52,9 @@ class WordEncoder:
         self.core_words: list[str] = []
         self.split: list[tuple[int, int]] = []
         self.nothing = self.cores[b""]
+        probe = "A  word,\n\tand another's; É 漢 12 (x)! "
+        if self.encode([probe])[0].tolist() != self.library.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{path}: the ids of a text are not those of its words in a row")
 
     def _missing_core(self, core: bytes) -> None:
         self.core_words.append(core.decode("utf-8", "surrogatepass"))
@@ -142,8 +145,11 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _open(uri: str):
+    """File system and path of a folder; Hadoop's names for S3 are Arrow's `s3`."""
     from pyarrow import fs
 
+    for name in ("s3a://", "s3n://"):
+        uri = "s3://" + uri.removeprefix(name) if uri.startswith(name) else uri
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
