@@ -328,8 +328,8 @@ def examples(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np
     ends = lambda x: F.exists("base", lambda b: (b["end"] == x["end"]) & (b["first"] <= x["first"])) & ((x["code"] != 0) | (F.get(x["f"], F.lit(1)) >= 10))
     # Base rules know nothing of secrets or IPv6, so they label numbers and addresses only.
     second = _labelled_candidates(staged(real, "pii-sample").where(F.size("base") < 200), candidates(F.col("text")), ends, touched)
-    got = first.union(second.where("code < 2")).groupBy("code", "f", "y").agg(F.count("*").alias("n")).orderBy("code", "f", "y").toPandas()
-    x, y, n = np.array(got["f"].tolist(), float).reshape(-1, _FEATURES), got["y"].to_numpy(), np.minimum(got["n"].to_numpy(), 20)
+    got = first.union(second.where("code < 2")).groupBy("code", "f", "y").agg(F.count("*").alias("n")).orderBy("code", "f", "y").collect()
+    x, y, n = np.array([r.f for r in got], float).reshape(-1, _FEATURES), np.array([r.y for r in got]), np.minimum([r.n for r in got], 20)
     return np.repeat(x, n, axis=0), np.repeat(y, n)
 
 
