@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import wine
-from tallymark.operators import history, search, serving, stats
+from tallymark.operators import history, pages, search, serving, stats
 from tallymark.plans import registry
 from tallymark.plans import views as v
 from tallymark.plans.registry import _GRAPES, _WINE, _cases, query
@@ -153,3 +153,52 @@ def wine_price_drops(spark, d):
     return history.price_drops(v.history(spark, d), wines(spark, d), offers=v.offers(spark, d)).select("slug", "drop_pct", "store_count")
 
 
+
+
+# -- pages ---------------------------------------------------------------------------------------------------------------------------------
+
+_PAGES = rf"""k AS (SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(brand)), '^bodegas?\s+', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug, {_shown_sql("brand")} AS shown FROM wines WHERE brand IS NOT NULL AND lower(brand) <> 'smirnoff'),
+sc AS (SELECT slug, count(DISTINCT store_slug) AS store_count FROM offers JOIN k USING (group_slug) GROUP BY 1),
+pages AS (SELECT slug, arg_max(shown, (length(shown), shown)) AS name, count(*) AS group_count, any_value(sc.store_count) AS store_count FROM k JOIN sc USING (slug) GROUP BY slug HAVING count(*) >= 3)"""
+_ITEMS = "items AS (SELECT * FROM (SELECT type AS page, group_slug, brand, store_count, row_number() OVER (PARTITION BY type ORDER BY store_count DESC, min_price NULLS LAST, group_slug) AS rank FROM wines WHERE type IS NOT NULL) WHERE rank <= 48)"
+
+
+@_of_wines(rf"""WITH {_PAGES}, {_ITEMS}, n AS (SELECT page, brand, trim(regexp_replace(regexp_replace(strip_accents(lower(brand)), '^bodegas?\s+', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug, count(*) AS n FROM items WHERE brand IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, brand)::INTEGER AS rank FROM n WHERE slug IN (SELECT slug FROM pages))
+SELECT page, rank, brand, slug, n FROM r WHERE rank <= 8""")
+def wine_facet_brands(spark, d):
+    g = wines(spark, d)
+    return pages.facet_brands(g, stats.brand_pages(g, v.offers(spark, d)), "type")
+
+
+@_of_wines(f"""WITH {_ITEMS}, l AS (SELECT page, CASE WHEN store_count >= 2 THEN 'several' WHEN store_count = 1 THEN 'single' END AS list, group_slug, rank FROM items),
+p AS (SELECT page, list, group_slug, row_number() OVER (PARTITION BY page, list ORDER BY rank)::INTEGER AS place FROM l WHERE list IS NOT NULL)
+SELECT page, list, place, group_slug FROM p WHERE place <= CASE WHEN list = 'several' THEN 30 ELSE 16 END""")
+def wine_facet_lists(spark, d):
+    return pages.facet_lists(wines(spark, d), "type")
+
+
+@_of_wines(f"WITH {_PAGES} SELECT slug, name, group_count, store_count FROM pages WHERE store_count >= 2")
+def wine_brand_index(spark, d):
+    return pages.brand_index(stats.brand_pages(wines(spark, d), v.offers(spark, d)), "groups").select("slug", "name", "group_count", "store_count")
+
+
+@_of_wines("""WITH p AS (SELECT group_slug AS slug_a, group_slug + 11 AS slug_b, store_count AS total_store_count FROM wines ORDER BY store_count DESC, slug_a, slug_b LIMIT 8)
+SELECT slug_a, slug_b, a.name AS name_a, b.name AS name_b, total_store_count FROM p JOIN wines a ON slug_a = a.group_slug JOIN wines b ON slug_b = b.group_slug""")
+def wine_popular_pairs(spark, d):
+    g = wines(spark, d)
+    return pages.popular_pairs(g.select(F.col("group_slug").alias("slug_a"), (F.col("group_slug") + 11).alias("slug_b"), F.col("store_count").alias("total_store_count")), g)
+
+
+@_of_wines("""WITH e AS (SELECT type, group_slug, generate_subscripts(varietals, 1) AS spot, unnest(varietals) AS value FROM wines WHERE type IS NOT NULL), f AS (SELECT type, value, min((group_slug, spot)) AS first FROM e GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY first, value) AS k FROM f)
+SELECT type, array_to_string(list(value ORDER BY k), ', ') AS varietals FROM r WHERE k <= 3 GROUP BY 1""")
+def wine_first_varietals(spark, d):
+    out = pages.first_values(wines(spark, d).where("type is not null"), "type", "varietals", "group_slug")
+    return out.select("type", F.array_join("varietals", ", ").alias("varietals"))
+
+
+@query("""WITH h AS (SELECT slug, date, min, row_number() OVER (PARTITION BY slug ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY slug) AS n, min(min) OVER (PARTITION BY slug) AS low, max(min) OVER (PARTITION BY slug) AS high FROM hist)
+SELECT slug, date, round(CASE WHEN n = 1 THEN 300 ELSE 8 + i * 584::DOUBLE / nullif(n - 1, 0) END, 4) AS x, round(92 - (min - low) / greatest(1, high - low) * 84, 4) AS y FROM h""")
+def price_chart(spark, d):
+    return pages.chart_points(v.history(spark, d)).select("slug", "date", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

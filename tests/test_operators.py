@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import mathx, text, wine
-from tallymark.operators import catalogue, graph, history, pairs, resolve, search, serving, stats
+from tallymark.operators import catalogue, graph, history, pages, pairs, resolve, search, serving, stats
 from tallymark.sources import payloads
 from tallymark.streaming import limiter, pageviews
 
@@ -301,3 +301,22 @@ def test_staged_files_go(spark):
     assert os.path.exists(path)
     session.clean()
     assert not os.path.exists(path)
+
+
+def test_page_helpers(spark, tmp_path):
+    assert one(spark, pages.embedding_text(F.col("n"), F.col("b"), F.array(F.lit("Malbec"), F.lit("Merlot"))), n="Gran", b="Catena") == "Gran — Catena — Malbec Merlot"
+    assert str(one(spark, pages.valid_until(F.to_date("d")), d="2024-01-31")) == "2024-02-01 00:00:00"
+    rows = spark.createDataFrame([("a", 1.5), ("b", None)], "slug string, price double")
+    assert {tuple(r) for r in pages.payload(rows, "slug").collect()} == {("a", '{"slug":"a","price":1.5}'), ("b", '{"slug":"b","price":null}')}
+    likes = spark.createDataFrame([("a",), ("z",)], ["slug"])
+    assert [r.slug for r in pages.favourite_drops(likes, rows).collect()] == ["a"]
+    assert [r.slug for r in pages.favourites_missing(likes, rows.withColumnRenamed("slug", "group_slug")).collect()] == ["z"]
+    pages.write_report(rows, str(tmp_path / "r"), 1, [F.desc("price")], threshold=0.15)
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "r")).select("slug", "threshold").collect()] == [("a", 0.15)]
+    pages.write_snapshot(rows, rows, str(tmp_path / "s"))
+    pages.write_snapshot(rows, rows.limit(1), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s/offers")).count() == 1
+    (tmp_path / "one.json").write_text('[\n {"slug": "a",\n "name": "x"}, {"slug": "b"}]')
+    assert pages.read_document(spark, str(tmp_path / "one.json"), "slug string, name string").count() == 2
+    with pytest.raises(ValueError):
+        pages.brand_index(rows, "nothing")
