@@ -42,16 +42,30 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: What a generator looks at, and what a text must hold for that.
+#: What a generator looks at.
 GENERATORS = {
-    "number": (r"(?<![0-9])[(]?[0-9][0-9\x20()./-]*+", r"[0-9][0-9\x20()./-]{5}"),
-    "address": (r"(?i)(?<![a-z0-9._+-])[a-z0-9._+-]{2,64}(?:\x20?(?:@|[\[({]at[\])}])\x20?|\x20at\x20)[a-z0-9-]{2,63}(?:(?:\.|\x20?[\[({]dot[\])}]\x20?|\x20dot\x20)[a-z0-9-]{2,63}){1,8}+", r"(?i)@|at[\])}]|\x20dot\x20|\x20at\x20[a-z0-9-]+\."),
-    "address6": (r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]{6,39}+(?![0-9A-Za-z:])", r"[0-9A-Fa-f:]:[0-9A-Fa-f]{0,4}:"),
-    "secret": (r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,512}+", r"[A-Za-z0-9+/_=.-]{20}"),
-    "keyed": (r"(?i)(?<=(?:token|secret|passwd|password|pwd|key)\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[^\s\"'=:,;]{6,256}+", r"(?i)(?:token|secret|passw(?:or)?d|pwd|key)\x20{0,2}[=:]"),
+    "number": r"(?<![0-9])[(]?[0-9][0-9\x20()./-]*+",
+    "address": r"(?i)(?<![a-z0-9._+-])[a-z0-9._+-]{2,64}(?:\x20?(?:@|[\[({]at[\])}])\x20?|\x20at\x20)[a-z0-9-]{2,63}(?:(?:\.|\x20?[\[({]dot[\])}]\x20?|\x20dot\x20)[a-z0-9-]{2,63}){1,8}+",
+    "address6": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]{6,39}+(?![0-9A-Za-z:])",
+    "secret": r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,512}+",
+    "keyed": r"(?i)(?<=(?:token|secret|passwd|password|pwd|key)\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[^\s\"'=:,;]{6,256}+",
 }
-#: One of these is in every text that a generator looks at.
-_ANY = "|".join(f"(?:{rough})" for _, rough in GENERATORS.values())
+
+
+def _may_hold(name: str, text: Column) -> Column:
+    """Whether a text can hold a candidate of a generator; the cheap tests come first."""
+    if name == "number":
+        return text.rlike(r"[0-9][0-9\x20()./-]{5}")
+    if name == "address":
+        written = F.lower(text).contains(" at ") & text.rlike(r"(?i)\x20at\x20[a-z0-9-]{2,63}(?:\.|\x20?[\[({]dot|\x20dot\x20)")
+        return text.contains("@") | written | (text.rlike(r"[\])}]") & text.rlike(r"(?i)[\[({]at[\])}]"))
+    if name == "address6":
+        return text.contains(":") & text.rlike(r"[0-9A-Fa-f:]:[0-9A-Fa-f]{0,4}:")
+    if name == "secret":
+        return text.rlike(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20}")
+    return (text.contains("=") | text.contains(":")) & text.rlike(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key)\x20{0,2}[=:]")
+
+
 _OF_CODE = ("phone", "email", "ip", "secret", "secret")
 _GROUPS, _BEFORE, _AFTER = 7, 24, 12
 #: Long texts are searched in windows of so many characters, which see so many more on either side; a candidate belongs to the window that it begins in.
@@ -168,7 +182,7 @@ def _subruns(cluster: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Overlapping candidates: array of code, first, end, said, before, after."""
     out = []
-    for code, (name, (pattern, rough)) in enumerate(GENERATORS.items()):
+    for code, (name, pattern) in enumerate(GENERATORS.items()):
         found = matches(text, pattern)
         if name == "number":
             found = F.flatten(F.transform(found, _subruns))
@@ -176,7 +190,7 @@ def candidates(text: Column) -> Column:
             found = F.filter(found, lambda x: F.length(x["said"]) - F.length(F.replace(x["said"], F.lit(":"), F.lit(""))) >= 3)
         elif name == "secret":
             found = F.filter(found, lambda x: x["said"].rlike("[0-9]") & x["said"].rlike("[A-Za-z]"))
-        found = F.when(text.rlike(rough), found).otherwise(F.from_json(F.lit("[]"), _SPAN))
+        found = F.when(_may_hold(name, text), found).otherwise(F.from_json(F.lit("[]"), _SPAN))
         out.append(F.transform(found, _coded(code)))
     return F.concat(*out)
 
@@ -425,7 +439,9 @@ def find(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     rows = rows.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     base = F.concat(*[F.transform(F.col(k), _labelled(k)) for k in KINDS])
     rows = rows.select("doc_id", "text", base.alias("base"))
-    some = F.col("text").rlike(_ANY)
+    some = F.lit(False)
+    for name in GENERATORS:
+        some = some | _may_hold(name, F.col("text"))
     rows = rows.select("doc_id", "text", "base", F.when(some, found(F.col("text"), F.col("base"))).otherwise(F.from_json(F.lit("[]"), _FOUND)).alias("found"))
     rows = rows.select("doc_id", "text", "base", F.expr(scored_sql("found", model)).alias("chosen"))
     return rows.select("doc_id", "text", "base", F.when(F.size("chosen") > 0, best_spans(F.col("chosen"))).otherwise(F.from_json(F.lit("[]"), "array<struct<kind:string,first:int,end:int>>")).alias("added"))
