@@ -462,7 +462,7 @@ def twin_candidates(t):
     """code, first, end, said, before, after, by loops in Python."""
     names = list(pii.GENERATORS)
     for code, name in enumerate(names):
-        for a, z, said, before, after in twin_matches(t, pii.GENERATORS[name][0]):
+        for a, z, said, before, after in twin_matches(t, pii.GENERATORS[name]):
             if name == "number":
                 runs = [(m.start(), m.end()) for m in re.finditer("[0-9]+", said)]
                 for i in range(len(runs)):
