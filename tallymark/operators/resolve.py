@@ -17,19 +17,6 @@ from tallymark.operators.graph import connected_components
 from tallymark.operators.stats import top_k
 
 
-def infer_brand(listings: DataFrame, brands: DataFrame, longest: int = 5) -> DataFrame:
-    """Listings without a brand get the longest brand (name in `brands`) that their name holds as whole words.
-
-    An equi-join on the name's runs of up to `longest` words.
-    """
-    words = F.split(F.lower("name"), r"\s+")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))))
-    open_rows = listings.where(F.col("brand").isNull()).select("id", F.explode(F.array_distinct(grams)).alias("gram"))
-    known = brands.select(F.lower("brand").alias("gram"), F.col("brand").alias("found"))
-    best = open_rows.join(known, "gram").groupBy("id").agg(F.max_by("found", F.struct(F.length("gram"), F.negative(F.hash("gram")), "gram")).alias("found"))
-    return listings.join(best, "id", "left").withColumn("brand", F.coalesce("brand", "found")).drop("found")
-
-
 def prefix_brand(listings: DataFrame, prefixes: DataFrame, longest: int = 5) -> DataFrame:
     """The first entry, by `ord`, whose prefix is the name or begins it before a space."""
     words = F.split(squeeze(F.lower("name")), " ")
@@ -86,20 +73,31 @@ def agree(column: str) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
 
-def overlap(column: str) -> Column:
-    """Sets overlap, or one of them is empty."""
+def share(column: str) -> Column:
+    """Sets overlap, or both are empty."""
     a, b = F.col(f"a.{column}"), F.col(f"b.{column}")
-    return (F.size(a) <= 0) | (F.size(b) <= 0) | F.coalesce(F.arrays_overlap(a, b), F.lit(True))
+    return ((F.coalesce(F.size(a), F.lit(0)) <= 0) & (F.coalesce(F.size(b), F.lit(0)) <= 0)) | F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
+def same_volume(column: str = "format") -> Column:
+    """Formats don't contradict: both given and equal, or one is missing and the other is no volume (ml or l)."""
+    a, b = F.col(f"a.{column}"), F.col(f"b.{column}")
+    volume = lambda x: F.coalesce(x.rlike("^[0-9]+(?:ml|l)$"), F.lit(False))
+    return agree(column) & (volume(a) == volume(b))
 
 
 def image_links(groups: DataFrame, threshold: float = 0.7, most_groups: int = 5, most_brands: int = 3) -> DataFrame:
-    """Groups with one image, brand, type, format and similar names. An image of `most_groups` groups and `most_brands` brands or more is a placeholder."""
-    held = groups.where(F.col("image_url").isNotNull() & F.col("brand").isNotNull())
-    stats = held.groupBy("image_url").agg(F.count("*").alias("n"), F.countDistinct(F.lower("brand")).alias("brands")).where((F.col("n") > 1) & ~((F.col("n") >= most_groups) & (F.col("brands") >= most_brands)))
-    rows = held.join(stats.select("image_url"), "image_url", "left_semi")
+    """Groups with one image and brand that share a varietal (or have none), whose type and volume don't contradict, with similar names.
+
+    An image of `most_groups` groups and `most_brands` brands or more is a placeholder. Pairs meet on image and brand.
+    """
+    brand = F.trim(F.regexp_replace(F.lower("brand"), r"\s+", " "))
+    held = groups.where(F.col("image_url").isNotNull()).withColumn("__tm_brand", brand)
+    stats = held.groupBy("image_url").agg(F.count("*").alias("n"), F.countDistinct(F.nullif("__tm_brand", F.lit(""))).alias("brands")).where((F.col("n") > 1) & ~((F.col("n") >= most_groups) & (F.col("brands") >= most_brands)))
+    rows = held.where("__tm_brand <> ''").join(stats.select("image_url"), "image_url", "left_semi")
     a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.image_url") == F.col("b.image_url")) & (F.lower("a.brand") == F.lower("b.brand")) & (F.col("a.group_slug") < F.col("b.group_slug"))
-    met = a.join(b, on & agree("type") & F.col("a.format").eqNullSafe(F.col("b.format")) & overlap("varietals"))
+    on = (F.col("a.image_url") == F.col("b.image_url")) & (F.col("a.__tm_brand") == F.col("b.__tm_brand")) & (F.col("a.group_slug") < F.col("b.group_slug"))
+    met = a.join(b, on & agree("type") & same_volume() & share("varietals"))
     return met.where(jaccard(F.col("a.tokens"), F.col("b.tokens"), 1.0) >= threshold).select(F.col("a.group_slug").alias("src"), F.col("b.group_slug").alias("dst"))
 
 
@@ -159,14 +157,6 @@ def bucket_merge(groups: DataFrame, bucket: Sequence[str], bad: DataFrame | None
     return rows.join(fit, "bucket").select("group_slug", "merged_into")
 
 
-def inherit_empty(groups: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Groups without a varietal join the one group family of their key if that has a single varietal set, type and vintage."""
-    rows = groups.withColumn("v", F.array_join(F.array_sort("varietals"), ","))
-    fit = rows.groupBy(*key).agg(F.countDistinct(F.when(F.col("v") != "", F.col("v"))).alias("sets"), F.countDistinct("type").alias("types"), F.countDistinct("vintage").alias("vintages"), F.min_by("group_slug", F.when(F.col("v") != "", F.struct(F.negative("store_count"), "group_slug"))).alias("merged_into"))
-    fit = fit.where("sets = 1 and types <= 1 and vintages <= 1")
-    return rows.where("v = ''").join(fit, list(key)).select("group_slug", "merged_into")
-
-
 def split_chimeras(offers: DataFrame, least_offers: int = 8, least_cluster: int = 3) -> DataFrame:
     """group_slug, ord and new_slug of the offers of groups that hold several products.
 

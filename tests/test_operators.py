@@ -170,13 +170,10 @@ def test_resolution_edges(spark):
     assert {(r.key, r.target) for r in resolve.subset_merge(keys).collect()} == {("c x", "c x y")}
     rows = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "a")], "slug string, ord string")
     assert sorted(r.slug for r in resolve.unique_slugs(rows).collect()) == ["s", "s-2", "t"]
-    brands = spark.createDataFrame([("Alta",), ("Alta Vista",)], ["brand"])
-    listings = spark.createDataFrame([(1, "malbec alta vista 2020", None), (2, "altavista", None)], "id long, name string, brand string")
-    assert {r.id: r.brand for r in resolve.infer_brand(listings, brands).collect()} == {1: "Alta Vista", 2: None}
     prefixes = spark.createDataFrame([("alta", "First", 1), ("alta vista", "Second", 2)], "prefix string, brand string, ord int")
     named = spark.createDataFrame([(1, "Alta Vista x", None), (2, "Altamira", "own")], "id long, name string, brand string")
     assert {r.id: r.brand for r in resolve.prefix_brand(named, prefixes).collect()} == {1: "First", 2: "own"}
-    g = spark.createDataFrame([("x", "i", "B", ["m"], None, None, ["a", "b"], 3, 9), ("y", "i", "b", None, "Tinto", None, ["a", "b"], 5, 6), ("z", "i", "c", ["m"], None, None, ["a", "b"], 1, 1)], "group_slug string, image_url string, brand string, varietals array<string>, type string, format string, tokens array<string>, store_count long, offer_count long")
+    g = spark.createDataFrame([("x", "i", "B ", ["m"], None, None, ["a", "b"], 3, 9), ("y", "i", " b", ["m"], "Tinto", "pack", ["a", "b"], 5, 6), ("v", "i", "b", [], None, None, ["a", "b"], 1, 1), ("w", "i", "b", ["m"], None, "1500ml", ["a", "b"], 1, 1), ("z", "i", "c", ["m"], None, None, ["a", "b"], 1, 1)], "group_slug string, image_url string, brand string, varietals array<string>, type string, format string, tokens array<string>, store_count long, offer_count long")
     links = resolve.image_links(g)
     assert [(r.src, r.dst) for r in links.collect()] == [("x", "y")]
     assert {(r.group_slug, r.merged_into) for r in resolve.merge_groups(g, links).collect()} == {("x", "y"), ("y", "y")}
