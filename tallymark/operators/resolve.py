@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions.mathx import cosine, jaccard
+from tallymark.functions.mathx import jaccard
 from tallymark.functions.text import squeeze, strip_accents
 from tallymark.operators.graph import connected_components
 from tallymark.operators.stats import top_k
+from tallymark.operators.vectors import classes, cosine_join
+from tallymark.session import staged
 
 
 def prefix_brand(listings: DataFrame, prefixes: DataFrame, longest: int = 5) -> DataFrame:
@@ -102,21 +104,20 @@ def image_links(groups: DataFrame, threshold: float = 0.7, most_groups: int = 5,
 
 
 def vector_pairs(vectors: DataFrame, block: str, low: float) -> DataFrame:
-    """Pairs of one block (the compatibility gate) whose cosine is at least `low`.
-
-    Vectors are normalised once; the pair join is an equi-join on the gate.
-    """
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    rows = vectors.withColumn("u", F.transform("embedding", lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))).select("vec_id", block, "u")
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    sim = F.aggregate(F.zip_with("a.u", "b.u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return met.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), sim.alias("sim")).where(F.col("sim") >= low)
+    """Pairs (a, b, sim) of vec_id in one block whose cosine is at least `low`; exact copies of a vector in a block stand as the one of least vec_id."""
+    first = vectors.join(classes(vectors, "vec_id", "embedding", [block]).where("vec_id = class").select("vec_id"), "vec_id", "left_semi")
+    return cosine_join(first, "vec_id", "embedding", low, block)
 
 
 def vector_merge(vectors: DataFrame, block: str, high: float, low: float, merges: int = 5, candidates: int = 3) -> tuple[DataFrame, DataFrame]:
     """Links (sim at least `high`, the best `merges` of each left row) and grey pairs (below, the best `candidates`)."""
     pairs = vector_pairs(vectors, block, low)
+    return best_links(pairs, high, merges, candidates)
+
+
+def best_links(pairs: DataFrame, high: float, merges: int = 5, candidates: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Of pairs (a, b, sim): links of at least `high`, the best `merges` of each a, and grey pairs below, the best `candidates`."""
+    pairs = staged(pairs, "pairs")
     order = [F.desc("sim"), F.col("b")]
     links = top_k(pairs.where(F.col("sim") >= high), ["a"], order, merges)
     grey = top_k(pairs.where(F.col("sim") < high), ["a"], order, candidates)

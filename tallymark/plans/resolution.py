@@ -7,12 +7,15 @@ pictures, lines that differ in noise only, labels with and without a grape, and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import wine
-from tallymark.operators import chain, lineage, resolve
+from tallymark.operators import chain, lineage, resolve, vectors
 from tallymark.plans import views as v
+from tallymark.plans import wines
 from tallymark.plans.registry import _cases, query
 from tallymark.session import staged
 
@@ -250,3 +253,40 @@ def chain_lineage(spark, d):
     out = _run(spark, d)
     split = out.branches.select(F.lit(4).cast("long").alias("t"), F.lit("split").alias("stage"), "old", "new", F.col("new").alias("final"), F.lit(1).cast("long").alias("hops"))
     return lineage.compress(out.events).unionByName(split)
+
+
+# -- close vectors under gates -----------------------------------------------------------------------------------------
+
+#: Signals that a name adds, by group, so that each gate refuses somewhere.
+SIGNALS = ["", " tinto", " blanco", " dulce", " extra brut", " extra-brut", " demi sec", " expo 13", " expo 24 bot", " 750", " rosado rose", "", ""]
+FORMATS = [None, "1500ml", "caja", None, "1l", None, None]
+
+
+def _signalled(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("group_slug") % len(values) + 1).cast("int"))
+    rows = wines.wines(spark, d).select("group_slug", F.concat("name", pick(SIGNALS)).alias("name"), "varietals", "type", pick(FORMATS).alias("format"))
+    return rows.join(v.read(spark, d, "embeddings").select(F.col("vec_id").alias("group_slug"), "embedding"), "group_slug")
+
+
+def _words_sql(words: list[str]) -> str:
+    pattern = lambda w: re.sub(r"[-\s]", r"[-\\s]?", w)
+    return "[x FOR x IN [" + ", ".join(rf"CASE WHEN regexp_matches(lower(name), '\b{pattern(w)}\b') THEN '{w}' END" for w in words) + "] IF x IS NOT NULL]"
+
+
+_EDITION = r"nullif(regexp_extract(lower(name), '\b([0-9]{1,3})\s*(bot|un|unid|edicion|n\.?)?\b', 1), '')"
+
+
+@query(rf"""WITH {wines.WINES},
+s AS (SELECT group_slug, name || {SIGNALS!r}[group_slug % {len(SIGNALS)} + 1] AS name, varietals, type, [{", ".join("NULL" if x is None else f"'{x}'" for x in FORMATS)}][group_slug % {len(FORMATS)} + 1] AS format FROM wines),
+g AS (SELECT s.*, {_words_sql(vectors.COLOUR_WORDS)} AS colours, {_words_sql(vectors.SWEETNESS_WORDS)} AS sweet, {_EDITION} AS edition, coalesce(regexp_full_match(format, '[0-9]+(ml|l)'), false) AS volume,
+ [x::DOUBLE / sqrt(list_dot_product([y::DOUBLE FOR y IN embedding], [y::DOUBLE FOR y IN embedding])) FOR x IN embedding] AS u FROM s JOIN embeddings ON vec_id = group_slug),
+p AS (SELECT a.group_slug AS a, b.group_slug AS b, list_dot_product(a.u, b.u) AS sim FROM g a JOIN g b ON a.group_slug < b.group_slug AND (len(a.varietals) = 0 OR len(b.varietals) = 0 OR list_has_any(a.varietals, b.varietals)) AND (a.type IS NULL OR b.type IS NULL OR a.type = b.type)
+ AND (a.format IS NULL OR b.format IS NULL OR a.format = b.format) AND a.volume = b.volume AND (len(a.colours) = 0 OR len(b.colours) = 0 OR a.colours = b.colours) AND (len(a.sweet) = 0 OR len(b.sweet) = 0 OR a.sweet = b.sweet)
+ AND (a.edition IS NULL OR b.edition IS NULL OR a.edition = b.edition OR a.edition IN ('750', '375', '187', '1500') OR b.edition IN ('750', '375', '187', '1500'))),
+r AS (SELECT *, sim >= 0.32::DOUBLE AS high, row_number() OVER (PARTITION BY a, sim >= 0.32::DOUBLE ORDER BY sim DESC, b) AS k FROM p WHERE sim >= 0.2::DOUBLE)
+SELECT a, b, round(sim, 6) AS sim, CASE WHEN high THEN 'merge' ELSE 'ask' END AS verdict FROM r WHERE k <= CASE WHEN high THEN 5 ELSE 3 END""")
+def vector_candidates(spark, d):
+    pairs = vectors.gated_pairs(_signalled(spark, d), "group_slug", "embedding", 0.2)
+    links, grey = resolve.best_links(pairs, 0.32)
+    named = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "sim", F.lit("merge").alias("verdict"))
+    return named.unionByName(grey.withColumn("verdict", F.lit("ask"))).withColumn("sim", F.round("sim", 6))
