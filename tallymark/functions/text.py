@@ -22,7 +22,12 @@ EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))
 BARE_VOLUMES = ["187", "250", "375", "500", "1000", "1500", "3000", "5000"]
 PACK_WORDS = "caja|pack|box|estuche"
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
-JUNK_SLUGS = r"(?i)^(?:atributo|categoria|sin|alcohol|coleccion|color|tipo|cuerpo|grado|temperatura|variedad|filtro|estilo|crianza|cepa)-|-(?:atributo|categoria)-|^[0-9]+$"
+# Slugs of shop facets, and bare numbers.
+JUNK_SLUGS = [
+    r"^(atributo|categoria|sin|alcohol|coleccion|color|tipo|cuerpo|grado|temperatura|variedad|filtro|estilo|crianza|cepa)-",
+    r"-(atributo|categoria)-",
+    r"^[0-9]+$",
+]
 PLACEHOLDERS = [
     r"/no-?photo\b",
     r"/no-?image\b",
@@ -200,7 +205,7 @@ def split_versus(x: Column) -> tuple[Column, Column]:
 
 def is_junk_slug(x: Column) -> Column:
     """Slugs of shop facets and bare numbers."""
-    return x.rlike(JUNK_SLUGS)
+    return x.rlike("(?i)" + "|".join(JUNK_SLUGS))
 
 
 def peel(words: Column, noise: Sequence[str], most: int) -> Column:

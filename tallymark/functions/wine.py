@@ -59,11 +59,17 @@ NOT_WINE = (
     r"|bombay|gordon|tanqueray|beefeater|bacardi|malibu|red\s+bull|coca|pepsi|agua\b|juice|chocolate|cacao|grana\s+padano|parmes[aá]no|queso|salame"
     r"|jam[oó]n|fiamb|conserva|aceite|vinagre|caf[eé]\b|t[eé]\b|miel|aceitunas|kombucha|sangr[ií]a)\b"
 )
+#: What price drops leave out; another list than that of search.
+NOT_IN_DROPS = (
+    r"\b(whisk[eí]y?|gin|vodka|ron|tequila|mezcal|licor|vermut|fern|granadina|aperol|campari|cinzano|martini|cynar|amaretto|bitter|chartreuse|absent|jagermeister"
+    r"|jack[\s-]?daniels|smirnoff|absolut|cerveza|beer|glenlivet|hendricks|bombay|tanqueray|bushmills|chivas|johnny[\s-]?walker|jameson|macallan|aberlour)\b"
+)
 NOT_WINE_SIZE = r"\b(33|35|473)\s*cl\b|\b(?:100|150|200|250|330|355|473)\s*ml\b|\b200\s*gr\b"
-NOISE = (
-    "vino cosecha anada ano lata botella unidad unidades unid caja estuche pack box magnum media half 750 750cc cc ml tinto rojo red white"
-    " x1 x2 x3 x4 x6 x12 de la el los las del y e o u x a"
-).split()
+NOISE = [
+    "vino", "cosecha", "anada", "ano", "lata", "botella", "unidad", "unidades", "unid", "caja", "estuche", "pack", "box", "magnum", "media", "half",
+    "750", "750cc", "cc", "ml", "tinto", "rojo", "red", "white", "x1", "x2", "x3", "x4", "x6", "x12", "de", "la", "el", "los", "las", "del", "y", "e",
+    "o", "u", "x", "a",
+]
 ALIASES = [
     ("zucardi", "zuccardi"),
     ("familia zuccardi", "zuccardi"),
@@ -85,7 +91,7 @@ ALIASES = [
     ("chandon", "chandon"),
     ("baron b", "baronb"),
 ]
-#: Brands of several spellings, and the one they are shown by.
+#: Brands of several spellings, and the one they are shown by.
 BRAND_NAMES = [
     ("bodega catena zapata", "Catena Zapata"),
     ("catena zapata", "Catena Zapata"),
@@ -107,6 +113,7 @@ BRAND_NAMES = [
     ("las moras", "Las Moras"),
     ("don david", "Don David"),
 ]
+# Words that stay small or all in capitals in a shown brand, and the regions of one province.
 SMALL_WORDS = ["de", "del", "la", "el", "las", "los", "y", "&"]
 CAPITAL_WORDS = ["dv", "doc", "ii", "iii", "iv", "vi", "vii", "viii", "ix"]
 MENDOZA = ["Mendoza", "Valle de Uco", "Luján de Cuyo", "Maipú"]
@@ -174,6 +181,11 @@ def is_wine(name: Column) -> Column:
     return ~F.coalesce(name.rlike("(?iu)" + edged(NOT_WINE)) | name.rlike("(?iu)" + edged(NOT_WINE_SIZE)), F.lit(False))
 
 
+def may_drop(name: Column) -> Column:
+    """No word of those that price drops leave out; a null name has none."""
+    return ~F.coalesce(name.rlike("(?i)" + edged(NOT_IN_DROPS)), F.lit(False))
+
+
 def province(place: Column) -> Column:
     """Regions inside Mendoza count as Mendoza."""
     return F.when(place.isin(MENDOZA), F.lit("Mendoza")).otherwise(place)

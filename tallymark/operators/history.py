@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions.wine import is_wine
+from tallymark.functions.wine import may_drop
 
 
 def upsert_today(history: DataFrame, today: DataFrame, keep: int = 30, max_age: int = 31) -> DataFrame:
@@ -32,7 +32,7 @@ def prune(history: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def price_drops(history: DataFrame, groups: DataFrame, low: float = 0.15, high: float = 0.70, least_price: float = 1500, entries: int = 7, limit: int | None = 50, offers: DataFrame | None = None) -> DataFrame:
-    """Last price against the median of the priced ones among the `entries` entries before it, for wines (by name) of two stores or more.
+    """Last price against the median of the priced ones among the `entries` entries before it, for groups of two stores or more whose name holds no word of other drinks.
 
     With `offers`, only groups that have an offer in stock that is no collector's item.
     """
@@ -41,7 +41,7 @@ def price_drops(history: DataFrame, groups: DataFrame, low: float = 0.15, high:
     found = rows.where(F.col("rn") <= entries + 1).groupBy("slug").agg(F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col("min"))).alias("current_price"), F.max("date").alias("last_date"), F.median(F.when((F.col("rn") > 1) & (F.col("min") > 0), F.col("min"))).alias("median_price"))
     found = found.where((F.col("n") >= entries) & (F.col("median_price") > 0)).withColumn("raw", (F.col("median_price") - F.col("current_price")) / F.col("median_price"))
     found = found.where(F.col("raw").between(low, high) & (F.col("current_price") >= least_price)).withColumn("drop_pct", F.round("raw", 3))
-    fit = groups.where((F.col("store_count") >= 2) & (F.col("in_stock_offer_count") > 0) & is_wine(F.col("name")))
+    fit = groups.where((F.col("store_count") >= 2) & (F.col("in_stock_offer_count") > 0) & may_drop(F.col("name")))
     out = found.join(fit.select(F.col("group_slug").alias("slug"), "brand", "store_count"), "slug")
     if offers is not None:
         plain = offers.where(F.col("in_stock") & ~F.coalesce("is_collector", F.lit(False))).select(F.col("group_slug").alias("slug"))

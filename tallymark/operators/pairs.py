@@ -92,7 +92,8 @@ def health(previous: DataFrame, current: DataFrame, strict: bool = False) -> Dat
         F.when((F.col("before") >= 30) & (F.col("now") > 0) & (F.col("now") <= 0.5 * F.col("before")), F.lit("warn:halved")),
     ]
     issues = both.select(F.explode(F.array_compact(F.array(*kinds))).alias("issue"), "store_slug", F.coalesce("before", F.lit(0)).alias("before"), "now")
-    total = both.agg(F.sum("before").alias("before"), F.sum("now").alias("now")).where((F.col("before") >= 1000) & (F.col("now") <= 0.8 * F.col("before")))
+    # Whole runs: stores that are gone count before, new ones now. One row a side.
+    total = previous.agg(F.sum("product_count").alias("before")).crossJoin(now.agg(F.coalesce(F.sum("now"), F.lit(0)).alias("now"))).where((F.col("before") >= 1000) & (F.col("now") <= 0.8 * F.col("before")))
     return issues.unionByName(total.select(F.lit("error:total").alias("issue"), F.lit(None).cast(issues.schema["store_slug"].dataType).alias("store_slug"), "before", "now"))
 
 

@@ -124,6 +124,12 @@ def best_links(pairs: DataFrame, high: float, merges: int = 5, candidates: int =
     return links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim"), grey.select("a", "b", "sim")
 
 
+def decision_key(a: str = "a", b: str = "b") -> Column:
+    """What a decision on two groups (structs with name, brand and vintage) is kept under: both as plain lines, the smaller first."""
+    line = lambda x: F.trim(F.lower(F.concat_ws("|", F.coalesce(F.col(f"{x}.name"), F.lit("")), F.coalesce(F.col(f"{x}.brand"), F.lit("")), F.coalesce(F.col(f"{x}.vintage").cast("string"), F.lit("")))))
+    return F.concat_ws("||", F.least(line(a), line(b)), F.greatest(line(a), line(b)))
+
+
 def decided_links(grey: DataFrame, decisions: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     """Grey pairs that the cached decisions confirm, and those still to ask."""
     keyed = grey.withColumn("key", key)

@@ -147,7 +147,7 @@ def wine_detail_offers(spark, d):
 @_of_wines(f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY date DESC) AS rn FROM hist), g AS (SELECT slug, count(*) AS n, max(CASE WHEN rn = 1 THEN min END) AS current_price, median(CASE WHEN rn > 1 AND min > 0 THEN min END) AS median_price FROM h WHERE rn <= 8 GROUP BY 1),
 d AS (SELECT *, (median_price - current_price) / median_price AS raw FROM g WHERE n >= 7 AND median_price > 0),
 b AS (SELECT DISTINCT group_slug FROM offers WHERE in_stock AND NOT is_collector)
-SELECT slug, round(raw, 3) AS drop_pct, store_count FROM d JOIN wines ON slug = group_slug WHERE raw BETWEEN 0.15::DOUBLE AND 0.7::DOUBLE AND current_price >= 1500 AND store_count >= 2 AND slug IN (SELECT group_slug FROM b) AND {_WINE}
+SELECT slug, round(raw, 3) AS drop_pct, store_count FROM d JOIN wines ON slug = group_slug WHERE raw BETWEEN 0.15::DOUBLE AND 0.7::DOUBLE AND current_price >= 1500 AND store_count >= 2 AND slug IN (SELECT group_slug FROM b) AND NOT regexp_matches(name, '(?i){wine.NOT_IN_DROPS}')
 ORDER BY round(raw, 3) DESC, slug LIMIT 50""")
 def wine_price_drops(spark, d):
     return history.price_drops(v.history(spark, d), wines(spark, d), offers=v.offers(spark, d)).select("slug", "drop_pct", "store_count")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tallymark.plans import registry, resolution, wines  # noqa: F401
+from tallymark.plans import registry, resolution, state, wines  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
