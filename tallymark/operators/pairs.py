@@ -5,11 +5,15 @@ Every pair join is an equi-join on a blocking key with `a < b`; block size limit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.mathx import hamming, jaccard
+from tallymark.functions.text import strip_accents
 from tallymark.operators.stats import top_k
+from tallymark.session import staged
 
 
 def versus_pairs(groups: DataFrame, least_stores: int = 3, per_class: int = 25, ratio: float = 3, limit: int = 400) -> DataFrame:
@@ -37,15 +41,27 @@ def similar_names(rows: DataFrame, key: str, tokens: str, same: list[str], thres
     return met.where(F.col("similarity") >= threshold)
 
 
-def token_pair_clusters(rows: DataFrame, key: str, tokens: str, weight: str, most: int = 6, limit: int = 80) -> DataFrame:
-    """Sets of rows that share two tokens, several brands among them; equal sets count once, the heaviest first."""
+def conflicting(a: Column, b: Column) -> Column:
+    """Whether two brands can't be one: both are there and neither holds the other, as plain lower-case text."""
+    plain = lambda x: F.trim(F.lower(strip_accents(x)))
+    x, y = plain(a), plain(b)
+    return F.coalesce((x != "") & (y != "") & ~F.contains(x, y) & ~F.contains(y, x), F.lit(False))
+
+
+def token_pair_clusters(rows: DataFrame, key: str, tokens: str, weight: str, same: Sequence[str] = ("vintage", "format"), most: int = 6, limit: int = 80) -> DataFrame:
+    """Sets of rows with two of their distinctive `tokens` in common that agree in the columns `same` (null is a value) though some two of their brands conflict; equal sets count once, the heaviest first.
+
+    Rows with fewer than two tokens take no part.
+    """
     words = F.array_sort(F.array_distinct(F.col(tokens)))
     pairs = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
-    met = rows.select(key, "brand", weight, F.explode(pairs).alias("pair"))
+    own = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in same])) if same else F.lit("")
+    met = rows.select(key, "brand", weight, own.alias("__tm_own"), F.explode(pairs).alias("pair"))
     # Blocks beyond `most` rows are no duplicates by this report's rule; counts come first, so none is gathered.
     small = met.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n").between(2, most))
-    sets = met.join(small, "pair").groupBy("pair").agg(F.array_sort(F.collect_set(key)).alias("members"), F.countDistinct("brand").alias("brands"), F.sum(weight).alias("weight"))
-    sets = sets.where("brands > 1").groupBy("members").agg(F.min("pair").alias("pair"), F.max("weight").alias("weight"))
+    sets = met.join(small, "pair").groupBy("pair").agg(F.array_sort(F.collect_set(key)).alias("members"), F.collect_set("brand").alias("brands"), F.countDistinct("__tm_own").alias("kinds"), F.sum(weight).alias("weight"))
+    sets = sets.where((F.col("kinds") == 1) & F.exists("brands", lambda x: F.exists("brands", lambda y: conflicting(x, y))))
+    sets = sets.groupBy("members").agg(F.min("pair").alias("pair"), F.max("weight").alias("weight"))
     return sets.orderBy(F.desc("weight"), "pair").limit(limit)
 
 
@@ -54,19 +70,47 @@ def shared_values(rows: DataFrame, value: str, key: str, least: int = 2) -> Data
     return rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.countDistinct(key).alias("n"), F.countDistinct("brand").alias("brands"), F.min(key).alias("first")).where(F.col("n") >= least)
 
 
-def near_hashes(hashes: DataFrame, threshold: int = 10) -> DataFrame:
-    """Pairs (a, b, distance) of different 256-bit hashes within `threshold` (15 at most) bits, each named by the least url that has it.
+def near_hashes(hashes: DataFrame, threshold: int = 10, hot: int = 200) -> DataFrame:
+    """Pairs (a, b, distance) of different 256-bit hashes within `threshold` (14 at most) bits, each named by the least url that has it.
 
-    By the pigeonhole rule such hashes agree on one of 16 words of 16 bits, so an equi-join on those finds all. Rows of one hash are one member, see `hash_members`.
+    Such hashes agree in 16 - threshold of their 16 words of 16 bits at least, so an equi-join on a word finds all. A word that more than `hot` hashes hold
+    (flat pictures share many) finds its pairs in company: a close pair that agrees in hot words only agrees in several, so such
+    words are joined by two, and those twos that are still hot by three. Rows of one hash are one member, see `hash_members`.
     """
-    if threshold > 15:
-        raise ValueError("16 bands cannot prove a distance beyond 15")
+    if threshold > 14:
+        raise ValueError("two words in common need a distance of at most 14")
     rows = hashes.where(F.length("hash") == 64).groupBy(F.lower("hash").alias("hash")).agg(F.min("url").alias("url"))
-    banded = rows.select("url", "hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.substring("hash", k * 4 + 1, F.lit(4)))).alias("band", "word"))
-    a, b = banded.alias("a"), banded.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.url") < F.col("b.url")))
-    met = met.select(F.col("a.url").alias("a"), F.col("b.url").alias("b"), hamming(F.col("a.hash"), F.col("b.hash")).alias("distance"))
-    return met.where(F.col("distance") <= threshold).distinct()
+    word = lambda k: F.concat(F.lpad(k.cast("string"), 2, "0"), F.substring("hash", k * 4 + 1, F.lit(4)))
+    posts = rows.select("url", "hash", F.transform(F.sequence(F.lit(0), F.lit(15)), word).alias("words"))
+    levels = min(3, 16 - threshold)
+    keyed = staged(posts.select("url", "hash", F.explode("words").alias("key")), "hash-words")
+    found = None
+    for level in range(1, levels + 1):
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        due = sizes.where(F.col("n") <= hot) if level < levels else sizes
+        cold = keyed.join(due.select("key"), "key")
+        a, b = cold.alias("a"), cold.alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.url") < F.col("b.url"))).select(F.col("a.url").alias("a"), F.col("b.url").alias("b"), hamming(F.col("a.hash"), F.col("b.hash")).alias("distance"))
+        met = met.where(F.col("distance") <= threshold)
+        found = met if found is None else found.unionByName(met)
+        if level == levels:
+            break
+        # The next level's keys: hot ones and one more hot word of a later band.
+        warm = staged(keyed.join(sizes.where(F.col("n") > hot).select("key"), "key"), "hash-hot")
+        if warm.isEmpty():
+            break
+        if level == 1:
+            single = warm.groupBy("url").agg(F.collect_list("key").alias("hot_words"))  # 16 at most
+        more = warm.join(single, "url")
+        keyed = staged(more.select("url", "hash", F.explode(F.transform(F.filter("hot_words", lambda w: w > F.substring(F.col("key"), -6, 6)), lambda w: F.concat_ws("+", "key", w))).alias("key")), "hash-words")
+    return found.distinct()
+
+
+def placeholder_suspects(rows: DataFrame, value: str = "hash", key: str = "group_slug", most_groups: int = 5, most_brands: int = 3) -> DataFrame:
+    """Values of `value` (a hash or address) that `most_groups` groups and `most_brands` brands or more share: pictures that stand for none. Empty brands don't count."""
+    brand = F.nullif(F.trim(F.lower("brand")), F.lit(""))
+    out = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.countDistinct(key).alias("n"), F.countDistinct(brand).alias("brands"), F.min(key).alias("first"))
+    return out.where((F.col("n") >= most_groups) & (F.col("brands") >= most_brands))
 
 
 def hash_members(hashes: DataFrame, threshold: int = 10) -> DataFrame:

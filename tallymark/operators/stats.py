@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import edged
+from tallymark.operators.quantiles import medians
 from tallymark.functions.wine import brand_key, brand_slug, display_brand
 
 # Offers of several bottles, and brands that are no wine.
@@ -131,13 +132,33 @@ def page_items(groups: DataFrame, column: str, k: int) -> DataFrame:
 
 def market_distribution(groups: DataFrame, column: str, least: int = 1, limit: int | None = None) -> DataFrame:
     """Groups, share of all and median of the lowest price per value."""
-    rows = groups.where(F.col("min_price") > 0)
+    rows = groups.where(F.col("min_price") > 0).select(F.col(column).alias("value"), "min_price")
     total = rows.agg(F.count("*").alias("total"))
-    out = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"), F.round(F.median("min_price")).alias("median_price")).where(F.col("n") >= least)
-    out = out.crossJoin(F.broadcast(total)).select("value", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"), "median_price")  # one row
+    out = medians(rows.where("value is not null"), "value", "min_price").where(F.col("n") >= least)
+    out = out.crossJoin(F.broadcast(total)).select("value", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"), F.round("median").alias("median_price"))  # one row
     return out.orderBy(F.desc("n"), "value").limit(limit) if limit else out
 
 
+#: What the public statistics leave out: a grape's name that two grapes share.
+AMBIGUOUS = ["Cabernet"]
+
+
+def market_slices(groups: DataFrame, kind: str) -> DataFrame:
+    """name, count, pct, median_price of groups with a price and two stores or more, by first "varietal" (the 12 largest, ambiguous ones aside), "region" (three or more) or "type" (no median).
+
+    pct is of all such groups; an even number of prices has the rounded mean of its middle two. Ties of counts go by name.
+    """
+    real = groups.where((F.col("min_price") > 0) & (F.col("store_count") >= 2))
+    value = F.get("varietals", F.lit(0)) if kind == "varietal" else F.col(kind)
+    rows = real.select(value.alias("name"), "min_price").where(F.coalesce(F.col("name"), F.lit("")) != "")
+    if kind == "varietal":
+        rows = rows.where(~F.col("name").isin(AMBIGUOUS))
+    total = real.agg(F.count("*").alias("total"))  # one row
+    counted = rows.groupBy("name").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("median")) if kind == "type" else medians(rows, "name", "min_price", whole_even=True)
+    out = counted.where(F.col("n") >= (3 if kind == "region" else 1)).crossJoin(F.broadcast(total)).select("name", F.col("n").alias("count"), (F.col("n") / F.col("total")).alias("pct"), F.col("median").alias("median_price"))
+    return out.orderBy(F.desc("count"), "name").limit(12) if kind == "varietal" else out
+
+
 def price_bands(groups: DataFrame, edges: Sequence[float]) -> DataFrame:
     """Groups per half-open price band; empty bands stay."""
     spark = groups.sparkSession

@@ -413,13 +413,14 @@ def dup_jaccard(spark, d):
     return _rounded(pairs.similar_names(docs, "doc_id", "tokens", ["lang"]), "similarity", digits=6)
 
 
-@query("""WITH t AS (SELECT id, brand, size, list_sort(list_distinct([x FOR x IN string_split(key, ' ') IF length(x) > 1])) || ['n' || size::VARCHAR, 'r' || (id % 7)::VARCHAR] AS w FROM listings),
-u AS (SELECT id, brand, size, list_sort(list_distinct(w)) AS w FROM t),
-p AS (SELECT id, brand, size, x.word AS x, y.word AS y FROM u, unnest(w) AS x(word), unnest(w) AS y(word) WHERE x.word < y.word),
-q AS (SELECT x || ' ' || y AS pair, list_sort(list(id)) AS members, count(DISTINCT brand) AS brands, sum(size)::BIGINT AS weight FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6)
-SELECT array_to_string(members, ',') AS members, min(pair) AS pair, max(weight) AS weight FROM q WHERE brands > 1 GROUP BY members ORDER BY weight DESC, min(pair) LIMIT 80""")
+@query("""WITH t AS (SELECT id, CASE WHEN id % 6 = 5 THEN NULL ELSE brand END AS brand, size, CASE WHEN id % 4 = 0 THEN 2000 + id % 2 ELSE 1999 END AS vintage, CASE WHEN id % 9 = 0 THEN 'x6' END AS format, list_sort(list_distinct([x FOR x IN string_split(key, ' ') IF length(x) > 1])) || ['n' || size::VARCHAR, 'r' || (id % 7)::VARCHAR] AS w FROM listings),
+u AS (SELECT * REPLACE (list_sort(list_distinct(w)) AS w) FROM t),
+p AS (SELECT id, brand, size, vintage, coalesce(format, '-') AS format, x.word AS x, y.word AS y FROM u, unnest(w) AS x(word), unnest(w) AS y(word) WHERE x.word < y.word),
+q AS (SELECT x || ' ' || y AS pair, list_sort(list(id)) AS members, sum(size)::BIGINT AS weight FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6 AND count(DISTINCT vintage) = 1 AND count(DISTINCT format) = 1),
+c AS (SELECT DISTINCT a.x || ' ' || a.y AS pair FROM p a JOIN p b ON a.x = b.x AND a.y = b.y AND NOT contains(lower(a.brand), lower(b.brand)) AND NOT contains(lower(b.brand), lower(a.brand)))
+SELECT array_to_string(members, ',') AS members, min(pair) AS pair, max(weight) AS weight FROM q WHERE pair IN (SELECT pair FROM c) GROUP BY members ORDER BY weight DESC, min(pair) LIMIT 80""")
 def dup_token_pairs(spark, d):
-    rows = v.listings(spark, d)
+    rows = v.listings(spark, d).withColumns({"brand": F.when(F.col("id") % 6 != 5, F.col("brand")), "vintage": F.when(F.col("id") % 4 == 0, 2000 + F.col("id") % 2).otherwise(1999), "format": F.when(F.col("id") % 9 == 0, "x6")})
     words = F.array_distinct(F.concat(F.split("key", " "), F.array(F.concat(F.lit("n"), F.col("size").cast("string")), F.concat(F.lit("r"), (F.col("id") % 7).cast("string")))))
     out = pairs.token_pair_clusters(rows.withColumn("words", F.filter(words, lambda w: F.length(w) > 1)), "id", "words", "size")
     return out.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "pair", "weight")

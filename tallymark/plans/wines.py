@@ -154,6 +154,24 @@ def wine_price_drops(spark, d):
 
 
 
+_REAL = "real AS (SELECT * FROM wines WHERE min_price > 0 AND store_count >= 2)"
+_MIDDLE = "CASE WHEN count(*) % 2 = 0 THEN floor(median(min_price) + 0.5) ELSE median(min_price) END"
+
+
+@_of_wines(f"""WITH {_REAL} SELECT varietals[1] AS name, count(*) AS count, count(*)::DOUBLE / (SELECT count(*) FROM real) AS pct, {_MIDDLE} AS median_price FROM real WHERE len(varietals) > 0 AND varietals[1] <> 'Cabernet' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""")
+def market_slices_varietal(spark, d):
+    return stats.market_slices(wines(spark, d), "varietal")
+
+
+@_of_wines(f"""WITH {_REAL} SELECT region AS name, count(*) AS count, count(*)::DOUBLE / (SELECT count(*) FROM real) AS pct, {_MIDDLE} AS median_price FROM real WHERE region <> '' GROUP BY 1 HAVING count(*) >= 3""")
+def market_slices_region(spark, d):
+    return stats.market_slices(wines(spark, d), "region")
+
+
+@_of_wines(f"""WITH {_REAL} SELECT type AS name, count(*) AS count, count(*)::DOUBLE / (SELECT count(*) FROM real) AS pct, NULL::DOUBLE AS median_price FROM real WHERE type <> '' GROUP BY 1""")
+def market_slices_type(spark, d):
+    return stats.market_slices(wines(spark, d), "type")
+
 
 # -- pages ---------------------------------------------------------------------------------------------------------------------------------
 
