@@ -10,7 +10,8 @@ list can reach, the list's rows are scored exactly and ranked. A query that gain
 Queries and rows are dealt into a grid of cells of bounded size; each cell yields at most k rows a query and a window over those picks the answer.
 
 Edge cases: vectors that are null, empty, or hold a null or a non-finite component take no part. A query meets the vectors of its own length. A row
-never answers its own query (equal vec_id); ties go to the smaller vec_id. Rows that share a vec_id are rows of their own.
+never answers its own query (equal vec_id); ties go to the smaller vec_id. Rows that share a vec_id are rows of their own as answers; as queries those
+equal in their integers are one, and others of one vec_id are answered each for itself, k rows each.
 """
 
 from __future__ import annotations
@@ -41,9 +42,10 @@ class ImpactIndex:
         self.values = np.array([s[1] for s in self.segments])
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """query id, row numbers and exact scores of the k best rows of the block."""
+        """Place of the query, row numbers and exact scores of the k best rows of the block."""
         for at in range(0, len(queries), GROUP):
-            yield from self._group(query_ids[at : at + GROUP], queries[at : at + GROUP], k)
+            for j, found, scores in self._group(query_ids[at : at + GROUP], queries[at : at + GROUP], k):
+                yield at + j, found, scores
 
     def _group(self, query_ids: np.ndarray, q: np.ndarray, k: int):
         n = len(self.ids)
@@ -83,7 +85,7 @@ class ImpactIndex:
                     continue
                 exact = self.vectors[possible] @ q[j]
                 best = np.lexsort((self.ids[possible], -exact))[:k]
-                yield int(query_ids[j]), possible[best], exact[best]
+                yield j, possible[best], exact[best]
             open_queries = np.array(still, int)
             if not still:
                 return
@@ -104,23 +106,28 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "v
     g, r = max(1, math.ceil(n / rows_per_cell)), max(1, math.ceil(q / queries_per_cell))
     rows = rows.withColumn("length", F.size("v"))
     left = rows.select("length", F.pmod(F.xxhash64("vec_id"), F.lit(g)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("r"), F.lit(False).alias("query"), "vec_id", "v")
-    right = rows.where(is_query).select("length", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(r)).cast("int").alias("r"), F.lit(True).alias("query"), "vec_id", "v")
+    asked = rows.where(is_query).select("length", "vec_id", "v").distinct()
+    right = asked.select("length", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(r)).cast("int").alias("r"), F.lit(True).alias("query"), "vec_id", "v")
 
     def cell(table: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = [], [], []
+        out: tuple[list, list, list, list] = [], [], [], []
         ids, column = table.column("vec_id").to_numpy(), table.column("v").combine_chunks()
         matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.int64)
         query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
         if query.any() and not query.all():
             index = ImpactIndex(ids[~query], matrix[~query])
-            for query_id, found, scores in index.search(ids[query], matrix[query], k):
-                out[0].extend([query_id] * len(found))
+            asked, marks = ids[query], table.column("mark").to_numpy()[query]
+            for j, found, scores in index.search(asked, matrix[query], k):
+                out[0].extend([int(asked[j])] * len(found))
                 out[1].extend(index.ids[found].tolist())
                 out[2].extend(scores.tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
+                out[3].extend([int(marks[j])] * len(found))
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64()), "mark": pa.array(out[3], pa.int64())})
 
-    found = left.unionByName(right).groupBy("length", "g", "r").applyInArrow(cell, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows a cell of the query's line
+    # The mark of a query tells vectors of one id apart.
+    dealt = left.unionByName(right).withColumn("mark", F.xxhash64("v"))
+    found = dealt.groupBy("length", "g", "r").applyInArrow(cell, "query_id long, vec_id long, score long, mark long")
+    best = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")  # k rows a cell of the query's line
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -130,8 +137,8 @@ WITH v AS (
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_dot_product([x::DOUBLE FOR x IN q.v], [x::DOUBLE FOR x IN r.v])::BIGINT AS score
-  FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.v AS asked, r.vec_id AS vec_id, list_dot_product([x::DOUBLE FOR x IN q.v], [x::DOUBLE FOR x IN r.v])::BIGINT AS score
+  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0) q JOIN v r ON q.vec_id <> r.vec_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM t WHERE rank <= 20
 """

@@ -412,6 +412,18 @@ def test_topk_against_brute_force(spark):
         for q in (k for k in vectors if k % 20 == 0):
             want = sorted(((-int(x @ vectors[q][0]), k) for k, xs in vectors.items() if k != q for x in xs))[:20]
             assert got[q] == [(-s, k) for s, k in want]
+    # A query row that is repeated is one query; another vector under the same id is a query of its own.
+    more = [*rows, (20, rows[20][1]), (20, rows[20][1]), (40, rows[41][1])]
+    for cell in (10_000, 40):
+        answers = collections.Counter()
+        for r in topk.search(spark.createDataFrame(more, "vec_id long, embedding array<double>"), rows_per_cell=cell, queries_per_cell=4).collect():
+            answers[r.query_id, r.rank, r.vec_id, r.score] += 1
+        want = collections.Counter()
+        pool = [(k, np.floor(64 * np.array(v)).astype(int)) for k, v in more if k in vectors and v and None not in v and np.isfinite(v).all()]
+        for q, v in {(k, tuple(v)) for k, v in pool if k % 20 == 0}:
+            for rank, (s, k) in enumerate(sorted((-int(x @ np.array(v)), k) for k, x in pool if k != q)[:20]):
+                want[q, rank + 1, k, -s] += 1
+        assert answers == want and len({k for q, _, k, _ in answers if q == 60}) == 20
     mixed = [(k, [0.5] * (9 if k % 3 == 0 else 8)) for k in range(100)]
     for cell in (10_000, 7):
         got = topk.search(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), rows_per_cell=cell).collect()
