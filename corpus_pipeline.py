@@ -13,18 +13,32 @@ from tallymark.llm import toxicity as toxic
 from tallymark.session import staged
 
 
+#: Bytes of an Arrow batch. The stages' texts are long; Spark's own bound is 64 MB for each task on either side of the pipe to Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to `BATCH_BYTES`, unless it has a tighter bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "67108864b")).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    bounded(spark)
     return toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are deleted from the texts; a document of which no word is left goes."""
+    bounded(spark)
     return lines.drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of smallest doc_id."""
+    bounded(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -35,6 +49,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the hash of the decoded text of every row."""
+    bounded(spark)
     coded = pieces.encode(docs, queries.tokenizer("piece_bpe_32k.model"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
