@@ -9,6 +9,7 @@ from tallymark.operators import pairs, resolve
 from tallymark.plans import views as v
 from tallymark.plans.registry import query
 from tallymark.session import new_path, staged
+from tallymark.sources.paging import page_verdicts
 from tallymark.sources.versions import KeyedCache, Versions
 
 _LINE = "trim(lower(coalesce({0}.p_name, '') || '|' || coalesce({0}.p_brand, '') || '|' || coalesce(CASE WHEN {0}.p_size % 3 = 0 THEN (2000 + {0}.p_size)::VARCHAR END, '')))"
@@ -50,3 +51,24 @@ def health_versions(spark, d):
     for rows in (before, now):
         kept.commit({"stores": rows})
     return pairs.health(kept.read("stores", back=1), kept.read("stores"))
+
+
+_CRAWL = """SELECT p_partkey AS id, p_partkey % 13 AS store_slug, CAST(floor(p_partkey / 78) AS INT) + 1 AS page, CAST(floor(p_partkey / 13) AS INT) % 6 AS spot,
+ CASE WHEN p_partkey % 13 % 4 = 1 AND floor(p_partkey / 78) >= 2 THEN concat('u', CAST(p_partkey % 78 AS {0})) ELSE concat('u', CAST(p_partkey AS {0})) END AS external_url FROM {1}"""
+#: Some shops repeat their first page from the third on, some have a short second one, some an empty one, some a page that failed or was not fetched.
+_GONE = "(store_slug % 4 = 2 AND page = 2 AND spot > 3) OR (store_slug % 8 = 3 AND page = 2)"
+_PAGES = "SELECT DISTINCT store_slug, page, NOT (store_slug = 7 AND page = 2) AS ok FROM {} WHERE NOT (store_slug = 0 AND page = 2)"
+
+
+@query(f"""WITH all_items AS ({_CRAWL.format("VARCHAR", "part")}), items AS (SELECT * FROM all_items WHERE NOT ({_GONE})), fetched AS ({_PAGES.format("all_items")}),
+f AS (SELECT store_slug, page, count(*) AS new FROM (SELECT store_slug, external_url, min(page) AS page FROM items GROUP BY 1, 2) GROUP BY 1, 2), c AS (SELECT store_slug, page, count(DISTINCT external_url) AS items FROM items GROUP BY 1, 2),
+r AS (SELECT store_slug, page, ok, coalesce(items, 0) AS items, coalesce(new, 0) AS new, row_number() OVER (PARTITION BY store_slug ORDER BY page) AS n FROM fetched LEFT JOIN c USING (store_slug, page) LEFT JOIN f USING (store_slug, page)),
+s AS (SELECT *, CASE WHEN NOT ok THEN 'failed' WHEN items = 0 THEN 'empty' WHEN new = 0 THEN 'nothing new' WHEN items < 6 THEN 'short' END AS stop FROM r),
+e AS (SELECT *, coalesce(bool_or(stop IS NOT NULL) OVER (PARTITION BY store_slug ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM s),
+z AS (SELECT *, CASE WHEN ended THEN 'after end' WHEN n <> page THEN 'gap' WHEN page > 20 THEN 'beyond last' ELSE stop END AS reason FROM e)
+SELECT store_slug, page, items, new, reason IS NULL OR reason = 'short' AS counts, reason FROM z""")
+def crawl_pages(spark, d):
+    """Pages of shops that end in different ways."""
+    part = v.read(spark, d, "part")
+    every = spark.sql(_CRAWL.format("STRING", "{part}"), part=part)
+    return page_verdicts(spark.sql(_PAGES.format("{every}"), every=every), every.where(f"NOT ({_GONE})"), full=6, last_page=20)

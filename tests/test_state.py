@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import pairs
 from tallymark.operators.ranking import numbered
+from tallymark.sources.paging import listed, page_verdicts
 from tallymark.sources.versions import ConcurrentCommit, KeyedCache, Versions
 
 
@@ -98,3 +99,17 @@ def test_health_of_stores_that_are_gone(spark):
     current = spark.createDataFrame([(f"s{k}", 300, 0) for k in range(4)] + [("new", None, 0)], "store_slug string, product_count long, errors int")
     assert {tuple(r) for r in pairs.health(previous, current).collect()} == {("error:total", None, 3000, 1200), ("warn:silent zero", "new", 0, 0)}
     assert pairs.health(previous.limit(0), current.where("store_slug <> 'new'")).count() == 0
+
+
+def test_paging_stops(spark):
+    items = [("a", 1, 1, "u1"), ("a", 1, 2, "u2"), ("a", 2, 3, "u2"), ("a", 2, 4, "u3"), ("a", 3, 5, "u1"), ("a", 3, 6, "u3"), ("a", 4, 7, "u9"), ("b", 1, 1, "u1"), ("b", 2, 2, "x"), ("b", 2, 3, "y"), ("c", 1, 1, "u"), ("c", 1, 2, "w"), ("c", 3, 3, "z"), ("d", 1, 1, None), ("e", 1, 1, "p"), ("e", 1, 0, "p"), ("e", 1, 2, "q"), ("e", 2, 3, "r"), ("e", 2, 3, "s"), ("e", 3, 9, "t"), ("e", 3, 9, "t2")]
+    pages = [("a", k, True) for k in (1, 2, 3, 4)] + [("b", 1, True), ("b", 2, True), ("c", 1, True), ("c", 3, True), ("d", 1, True), ("e", 1, True), ("e", 1, True), ("e", 2, None), ("e", 3, True), ("f", 1, False)]
+    items = spark.createDataFrame([(*r, "e") for r in items], "store_slug string, page int, ord int, external_url string, reason string").repartition(3)
+    got = page_verdicts(spark.createDataFrame(pages, "store_slug string, page int, ok boolean"), items, full=2)
+    said = {(r.store_slug, r.page): (r.items, r.new, r.counts, r.reason) for r in got.collect()}
+    assert said == {
+        ("a", 1): (2, 2, True, None), ("a", 2): (2, 1, True, None), ("a", 3): (2, 0, False, "nothing new"), ("a", 4): (1, 1, False, "after end"), ("b", 1): (1, 1, True, "short"), ("b", 2): (2, 2, False, "after end"),
+        ("c", 1): (2, 2, True, None), ("c", 3): (1, 1, False, "gap"), ("d", 1): (0, 0, False, "empty"), ("e", 1): (2, 2, True, None), ("e", 2): (2, 2, False, "failed"), ("e", 3): (2, 2, False, "after end"), ("f", 1): (0, 0, False, "failed"),
+    }
+    assert {(r.store_slug, r.external_url, r.ord) for r in listed(items, got).collect()} == {("a", "u1", 1), ("a", "u2", 2), ("a", "u3", 4), ("b", "u1", 1), ("c", "u", 1), ("c", "w", 2), ("e", "p", 0), ("e", "q", 2)}
+    assert page_verdicts(spark.createDataFrame([], "store_slug string, page int, ok boolean"), items).count() == 0
