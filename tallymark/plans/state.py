@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators import pairs, resolve
+from tallymark.operators import pairs, resolve, sitemap
 from tallymark.plans import views as v
 from tallymark.plans.registry import query
 from tallymark.session import new_path, staged
@@ -72,3 +72,22 @@ def crawl_pages(spark, d):
     part = v.read(spark, d, "part")
     every = spark.sql(_CRAWL.format("STRING", "{part}"), part=part)
     return page_verdicts(spark.sql(_PAGES.format("{every}"), every=every), every.where(f"NOT ({_GONE})"), full=6, last_page=20)
+
+
+_MAPPED = """SELECT group_slug AS id, CASE WHEN group_slug % 50 = 0 THEN concat('tipo-', CAST(group_slug AS {0})) ELSE concat('w', CAST(group_slug AS {0})) END AS group_slug, CASE WHEN group_slug % 9 > 0 THEN 'i' END AS image_url,
+ CASE WHEN group_slug % 7 = 0 THEN group_slug % 13 ELSE store_count END AS store_count, CASE WHEN group_slug % 11 = 0 THEN 0 ELSE in_stock_offer_count END AS in_stock_offer_count, brand FROM {1}"""
+_HOUSES = "SELECT lower(replace(brand, '#', '-')) AS slug, max(store_count) - 2 AS store_count FROM {} GROUP BY 1"
+
+
+@query(f"""WITH m AS ({_MAPPED.format("VARCHAR", "cat")}), h AS ({_HOUSES.format("m")}),
+e AS (SELECT 'vinos' AS bucket, '/vino/' || group_slug AS path, CASE WHEN in_stock_offer_count = 0 THEN 'weekly' ELSE 'daily' END AS change, CASE WHEN in_stock_offer_count = 0 THEN 0.2 WHEN store_count >= 10 THEN 0.9 WHEN store_count >= 5 THEN 0.8 WHEN store_count >= 3 THEN 0.7 WHEN store_count >= 2 THEN 0.6 ELSE 0.4 END AS priority
+  FROM m WHERE image_url IS NOT NULL AND NOT starts_with(group_slug, 'tipo-')
+ UNION ALL SELECT 'bodegas', '/bodega/' || slug, 'daily', CASE WHEN store_count >= 10 THEN 0.9 WHEN store_count >= 5 THEN 0.8 WHEN store_count >= 3 THEN 0.7 ELSE 0.5 END FROM h WHERE store_count >= 2),
+n AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY path) - 1) // 300 + 1 AS part FROM e)
+SELECT CASE WHEN part = 1 AND bucket <> 'vinos' THEN bucket ELSE bucket || '-' || part::VARCHAR END AS bucket, path, change, priority::DOUBLE AS priority FROM n""")
+def site_map(spark, d):
+    """Entries of the site map in buckets of 300."""
+    cat = v.groups(spark, d)
+    mapped = staged(spark.sql(_MAPPED.format("STRING", "{cat}"), cat=cat), "site-groups")
+    houses = spark.sql(_HOUSES.format("{mapped}"), mapped=mapped)
+    return sitemap.bucketed(sitemap.wine_entries(mapped).unionByName(sitemap.page_entries(houses, "bodegas")), 300)
