@@ -131,10 +131,10 @@ def decision_key(a: str = "a", b: str = "b") -> Column:
 
 
 def decided_links(grey: DataFrame, decisions: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
-    """Grey pairs that the cached decisions confirm, and those still to ask."""
-    keyed = grey.withColumn("key", key)
-    done = keyed.join(decisions, "key", "left")
-    return done.where("answer = 'yes'").select(F.col("a").alias("src"), F.col("b").alias("dst")), done.where("answer is null").select("a", "b", "key")
+    """Grey pairs (a, b) that the decisions (key, answer) confirm, and those still to ask: without any decision, since one that says nothing is one too."""
+    known = decisions.select(F.col("key").alias("__tm_key"), "answer", F.lit(True).alias("__tm_known"))
+    done = grey.withColumn("key", key).join(known, F.col("key") == F.col("__tm_key"), "left")
+    return done.where("answer = 'yes'").select(F.col("a").alias("src"), F.col("b").alias("dst")), done.where("__tm_known is null").select("a", "b", "key")
 
 
 def brands_agree(brands: Column) -> Column:

@@ -113,3 +113,28 @@ def test_paging_stops(spark):
     }
     assert {(r.store_slug, r.external_url, r.ord) for r in listed(items, got).collect()} == {("a", "u1", 1), ("a", "u2", 2), ("a", "u3", 4), ("b", "u1", 1), ("c", "u", 1), ("c", "w", 2), ("e", "p", 0), ("e", "q", 2)}
     assert page_verdicts(spark.createDataFrame([], "store_slug string, page int, ok boolean"), items).count() == 0
+
+
+def test_decided_pairs_from_the_cache(spark, tmp_path):
+    """Grey pairs that a cached answer settles become links; a no settles them too, and only those without a commit are still to ask."""
+    from tallymark.operators import resolve
+
+    group = "struct<name: string, brand: string, vintage: int>"
+    rows = [(1, 2, ("Uno ", "Sur", 2019), ("uno", None, None)), (2, 1, ("uno", None, None), ("Uno ", "Sur", 2019)), (3, 4, ("a", "b", None), ("a", "c", None)), (5, 6, ("new", None, None), ("newer", None, None)), (7, 8, ("odd", None, None), ("even", None, None))]
+    grey = spark.createDataFrame(rows, f"a_id long, b_id long, a {group}, b {group}").withColumn("key", resolve.decision_key())
+    keys = [r.key for r in grey.orderBy("a_id").collect()]
+    assert keys[0] == keys[1] == "uno |sur|2019||uno||"  # the same whichever side comes first
+    cache = KeyedCache(spark, f"file://{tmp_path}/c")
+    cache.append(spark.createDataFrame([(keys[0], "yes"), (keys[2], "no"), (keys[4], None)], "key string, answer string"))
+    asked = grey.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("key").alias("said"))
+    links, left = resolve.decided_links(asked, cache.known(), F.col("said"))
+    assert {(r.src, r.dst) for r in links.collect()} == {(1, 2), (2, 1)}
+    assert {(r.a, r.b) for r in left.collect()} == {(5, 6)}
+
+
+def test_repaired_images(spark):
+    from tallymark.operators import resolve
+
+    groups = spark.createDataFrame([("g", "gone"), ("h", "own"), ("i", None), ("j", "kept")], "group_slug string, image_url string")
+    offers = spark.createDataFrame([("g", 2, "late"), ("g", 1, "early"), ("h", 1, "own"), ("i", 1, "first"), ("j", 1, None)], "group_slug string, ord int, image_url string")
+    assert {r.group_slug: r.image_url for r in resolve.repair_images(groups, offers).collect()} == {"g": "early", "h": "own", "i": "first", "j": "kept"}
