@@ -6,6 +6,10 @@ and compacts the arrays, until no word has a pair left. Merging all occurrences
 one-at-a-time order unless a piece built on the merged one ranks no later than it; such pieces are found when the
 vocabulary is loaded, and for those a round merges the leftmost occurrence only.
 
+A word of more than `LONG` characters (base64, runs of spaces, unspaced scripts) would be scanned once for each of its many ranks. Its places
+wait in buckets by the rank of the pair that begins there instead, and a round touches the places of the best rank and their neighbours
+alone; pieces that can't be merged together are merged there from left to right, from a heap. The work grows with the word's length, not with its square.
+
 A text is parted into words where no piece can cross: before a space that follows a non-space and before a line feed,
 if the vocabulary allows that. What a word encodes to is remembered per worker up to a bound.
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ from .base import pick, text_slices, texts_of
 
 SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
+#: Words of more characters than these are merged by buckets.
+LONG = 256
 
 
 class PieceModel:
@@ -65,6 +72,7 @@ class PieceModel:
                     for part in (left, right):
                         if part < size and rank[i] <= rank[part]:
                             lone[part] = True
+        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.rank, self.lone = np.append(rank, _NONE), np.append(lone, False)
@@ -113,6 +121,12 @@ class PieceModel:
         word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
         at = np.arange(len(text), dtype=np.int64)  # where each symbol began, for characters without a piece
         done_sym, done_at = [], []
+        if lens.max(initial=0) > LONG:
+            big = np.repeat(lens > LONG, lens)
+            ids, places = self._merge_long(sym[big], word[big])
+            done_sym.append(ids)
+            done_at.append(at[big][places])
+            sym, word, at = sym[~big], word[~big], at[~big]
         pair = self._pairs(sym[:-1], sym[1:])
         pair[word[:-1] != word[1:]] = -1
         pair = np.append(pair, -1)[: len(sym)]
@@ -167,6 +181,83 @@ class PieceModel:
             at, sym = np.repeat(at, counts), flat
         return sym, np.diff(np.searchsorted(at, ends), prepend=0)
 
+    def _merge_long(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merged symbols of long words and the places where they begin.
+
+        `pair[k]` is the piece that the symbol at k makes with the next one. A symbol that never merges stands between words and at both ends.
+        """
+        edges = np.flatnonzero(np.append(word[1:] != word[:-1], True)) + 1
+        places = np.delete(np.arange(len(sym) + len(edges) + 1, dtype=np.int32), np.append(0, edges + np.arange(1, len(edges) + 1)))
+        flat = np.full(len(sym) + len(edges) + 1, self.other, np.int32)
+        flat[places] = sym
+        sym, n = flat, len(flat)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        pair = np.append(self._pairs(sym[:-1], sym[1:]), np.int32(-1))
+        waiting: dict[int, list] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Put places into the buckets of their pairs' ranks."""
+            rank = self.rank[pair[at]]
+            at, rank = at[rank != _NONE], rank[rank != _NONE]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            starts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else []
+            for r, a, b in zip(rank[starts].tolist(), starts, [*starts[1:], len(rank)]):
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(ranks, r)
+                waiting[r].append(at[a:b])
+
+        wait(np.arange(n, dtype=np.int32))
+        while ranks:
+            r = heappop(ranks)
+            hit = np.unique(np.concatenate(waiting.pop(r)))
+            hit = hit[self.rank[pair[hit]] == r]
+            if not len(hit):
+                continue
+            if self.lone[pair[hit]].any():
+                wait(self._one_by_one(r, hit, sym, pair, before, after))
+                continue
+            # Leftmost, non-overlapping: every second of a row of neighbours.
+            fresh = np.append(True, after[hit[:-1]] != hit[1:])
+            row = np.arange(len(hit))
+            hit = hit[(row - np.maximum.accumulate(np.where(fresh, row, 0))) % 2 == 0]
+            gone = after[hit]
+            sym[hit], pair[gone] = pair[hit], -1
+            after[hit] = after[gone]
+            before[after[hit]] = hit
+            changed = np.unique(np.concatenate([hit, before[hit]]))
+            pair[changed] = self._pairs(sym[changed], sym[after[changed]])
+            wait(changed)
+        kept = places[before[after[places]] == places]  # a place that was merged into an earlier one is no longer its neighbour's
+        return sym[kept], np.searchsorted(places, kept)
+
+    def _one_by_one(self, rank: int, hit: np.ndarray, sym: np.ndarray, pair: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Merge the pairs of this rank, and those of no later one that come of it, in the library's order; returns the places whose new pairs rank later."""
+        n, width, known = len(sym), self.other + 1, self.pairs
+        sym, pair, before, after, ranks = map(memoryview, (sym, pair, before, after, self.rank))
+        heap = [rank * n + k for k in hit.tolist()]
+        heapify(heap)
+        later = []
+        while heap:
+            r, k = divmod(heappop(heap), n)
+            made = pair[k]
+            if made < 0 or ranks[made] != r:
+                continue
+            gone = after[k]
+            sym[k], pair[gone] = made, -1
+            after[k] = ahead = after[gone]
+            before[ahead] = k
+            for at in (before[k], k):
+                pair[at] = made = known.get(sym[at] * width + sym[after[at]], -1)
+                if made >= 0:
+                    if ranks[made] <= rank:
+                        heappush(heap, ranks[made] * n + at)
+                    else:
+                        later.append(at)
+        return np.unique(np.array(later, np.int32))
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair makes; -1 for none (rank[-1] is no rank)."""
         key = left.astype(np.int64) * (self.other + 1) + right

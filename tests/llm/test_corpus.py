@@ -309,6 +309,26 @@ def test_lines_against_brute_force(spark, seed):
 # -- 3, 5 ------------------------------------------------------------------------------------------------------------------
 
 
+def test_pieces_of_long_words_equal_the_library():
+    """Texts without word breaks, runs of spaces and rows of pieces that can't be merged together, among short words; the merges must not take squared time."""
+    import time
+
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, sp, rng = pieces.PieceModel(path), SentencePieceProcessor(model_file=path), random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choices(letters, k=60_000)), " " * 9_999, "th" * 5_000, "the" * 3_000 + "an" * 300, "😀a" * 700, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5_000))]
+    texts += ["x".join("  " * rng.randrange(1, 300) + "".join(rng.choices("andthe r", k=400)) for _ in range(9)), "ab " * 9 + "return" * 200 + "\n" + "ab " * 9, "z" * pieces.LONG, "z" * (pieces.LONG + 1)]
+    texts += ["".join(rng.choices(rng.choice(["the an", "ab", "aA1 ", "▁ a", "ret urn\n"]), k=rng.randrange(200, 900))) for _ in range(300)]
+    for text, ids in zip(texts, m.encode(texts)):
+        assert ids.tolist() == [m.bos, *sp.encode(text), m.eos]
+        assert m.decode(ids) == sp.decode(ids.tolist())
+    began = time.perf_counter()
+    m.encode(["".join(rng.choices(letters, k=400_000))])
+    assert time.perf_counter() - began < 20  # by rounds over the whole word: more than a minute
+
+
 def test_pieces_equal_the_library(docs, empty):
     from sentencepiece import SentencePieceProcessor
 
