@@ -15,10 +15,14 @@ from tallymark.session import staged
 
 #: Bytes of an Arrow batch. The stages' texts are long; Spark's own bound is 64 MB for each task on either side of the pipe to Python.
 BATCH_BYTES = 4 << 20
+#: Python workers are used again by later stages. With these settings of the C library and of Arrow, what one stage frees goes back to the system.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 
 
 def bounded(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to `BATCH_BYTES`, unless it has a tighter bound."""
+    """Hold the session's Arrow batches to `BATCH_BYTES`, unless it has a tighter bound, and let its Python workers give freed memory back."""
+    for name, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(str(spark.conf.get(key, "67108864b")).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
