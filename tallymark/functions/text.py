@@ -234,3 +234,14 @@ def normalize_image_url(x: Column, placeholders: Sequence[str] = PLACEHOLDERS) -
 
 def utc_day(ms: Column) -> Column:
     return F.to_date(F.timestamp_millis(ms))
+
+
+def offer_label(name: Column, brand: Column) -> Column:
+    """An offer's name for people: without vintage, volume and the words that say nothing, and without the brand where more than five characters stay."""
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    # The vintages, volumes and words that go.
+    plain = F.regexp_replace(name, r"\b(19\d{2}|20[0-2]\d)\b", " ")
+    plain = F.regexp_replace(plain, r"(?i)\s*\d+\s*(ml|cc)\b", " ")
+    plain = tidy(F.regexp_replace(plain, r"(?i)\b(Vino|Tinto|Blanco)\b", " "))
+    bare = tidy(F.regexp_replace(plain, F.concat(F.lit(r"(?i)\b\Q"), brand, F.lit(r"\E\b")), F.lit(" ")))
+    return F.when((brand != "") & (F.length(bare) > 5), bare).otherwise(plain)

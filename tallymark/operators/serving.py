@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import host, utc_day, xml_escape
+from tallymark.operators.ranking import numbered
 
 
 def offer_order() -> list[Column]:
@@ -30,6 +31,25 @@ def detail_offers(slugs: DataFrame, offers: DataFrame, stores: DataFrame) -> Dat
     return named.select("group_slug", "place", "store_slug", F.coalesce("store_name", F.col("store_slug").cast("string")).alias("store_name"), "price", "in_stock", "is_collector", "over_best")
 
 
+#: The platforms in the order of the stores table; others come after them.
+PLATFORM_ORDER = ["tiendanube", "woocommerce", "shopify", "vtex", "magento", "prestashop", "mercadolibre", "bigcommerce", "custom"]
+
+
+def store_list(stores: DataFrame) -> DataFrame:
+    """The stores (store_slug, store_name, product_count, started_at, errors) with place, from 0: those of most products first, equal ones by slug. A missing count or list of errors is 0."""
+    count = F.coalesce(F.col("product_count").cast("long"), F.lit(0).cast("long"))
+    errors = F.greatest(F.coalesce(F.size("errors"), F.lit(0)), F.lit(0)).cast("long")
+    rows = stores.select("store_slug", "store_name", count.alias("product_count"), F.col("started_at").alias("last_scrape_at"), errors.alias("errors"))
+    return numbered(rows, [F.desc("product_count"), F.col("store_slug")], "place")
+
+
+def store_table(stores: DataFrame) -> DataFrame:
+    """The stores (store_slug, store_name, platform) with place, from 0: by the rank of their platform, then by slug."""
+    at = F.array_position(F.array(*map(F.lit, PLATFORM_ORDER)), F.col("platform"))
+    rows = stores.select("store_slug", "store_name", "platform", F.when(at > 0, at).otherwise(99).cast("int").alias("platform_rank"))
+    return numbered(rows, [F.col("platform_rank"), F.col("store_slug")], "place")
+
+
 def in_list_order(groups: DataFrame, slugs: DataFrame, limit: int = 200) -> DataFrame:
     """Groups of a list (slug, pos) in the list's order; unknown slugs are left out."""
     return slugs.orderBy("pos").limit(limit).join(groups, slugs["slug"] == groups["group_slug"]).select("pos", "group_slug", "name", "min_price")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators import pairs, resolve, sitemap
+from tallymark.functions.text import offer_label
+from tallymark.operators import pairs, resolve, serving, sitemap
 from tallymark.plans import views as v
 from tallymark.plans.registry import query
 from tallymark.session import new_path, staged
@@ -91,3 +92,38 @@ def site_map(spark, d):
     mapped = staged(spark.sql(_MAPPED.format("STRING", "{cat}"), cat=cat), "site-groups")
     houses = spark.sql(_HOUSES.format("{mapped}"), mapped=mapped)
     return sitemap.bucketed(sitemap.wine_entries(mapped).unionByName(sitemap.page_entries(houses, "bodegas")), 300)
+
+
+_PLATFORMS = ", ".join(f"'{x}'" for x in serving.PLATFORM_ORDER)
+
+
+@query("""WITH c AS (SELECT store_slug, count(*) AS n FROM offers WHERE store_slug % 7 > 0 GROUP BY 1), s AS (SELECT store_slug, store_name, coalesce(n // 40, 0)::BIGINT AS product_count,
+ CASE WHEN store_slug % 5 > 0 THEN 'day ' || (store_slug % 30)::VARCHAR END AS last_scrape_at, (CASE WHEN store_slug % 4 = 0 THEN 2 ELSE 0 END)::BIGINT AS errors FROM stores LEFT JOIN c USING (store_slug))
+SELECT *, row_number() OVER (ORDER BY product_count DESC, store_slug)::BIGINT - 1 AS place FROM s""")
+def store_list(spark, d):
+    """The stores by their products; counts, dates and lists of errors are missing for some, and many counts are equal."""
+    counts = v.offers(spark, d).where("store_slug % 7 > 0").groupBy("store_slug").agg(F.floor(F.count("*") / 40).alias("product_count"))
+    errors = F.when(F.col("store_slug") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("store_slug") % 4 == 1, F.array().cast("array<string>"))
+    started = F.when(F.col("store_slug") % 5 > 0, F.concat(F.lit("day "), (F.col("store_slug") % 30).cast("string")))
+    return serving.store_list(v.stores(spark, d).join(counts, "store_slug", "left").withColumns({"errors": errors, "started_at": started}))
+
+
+@query(f"""WITH s AS (SELECT store_slug, store_name, ([{_PLATFORMS}, 'another', NULL])[store_slug % 11 + 1] AS platform FROM stores),
+r AS (SELECT *, coalesce(nullif(list_position([{_PLATFORMS}], platform), 0), 99)::INTEGER AS platform_rank FROM s)
+SELECT *, row_number() OVER (ORDER BY platform_rank, store_slug)::BIGINT - 1 AS place FROM r""")
+def store_table(spark, d):
+    """The stores by platform; some platforms have no rank, some stores no platform."""
+    platforms = F.array(*map(F.lit, [*serving.PLATFORM_ORDER, "another", None]))
+    return serving.store_table(v.stores(spark, d).withColumn("platform", F.get(platforms, (F.col("store_slug") % 11).cast("int"))))
+
+
+@query(r"""WITH n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 < 5 THEN p_brand END AS brand, CASE WHEN p_partkey % 6 = 0 THEN lower(p_brand) || ' rosa' ELSE 'Vino ' || p_name || ' ' || p_brand || ' TINTO ' || (1960 + p_partkey % 90)::VARCHAR || ' x 750 ml' END AS name FROM part),
+p AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '\b(19\d{2}|20[0-2]\d)\b', ' ', 'g'), '(?i)\s*\d+\s*(ml|cc)\b', ' ', 'g'), '(?i)\b(Vino|Tinto|Blanco)\b', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM n),
+b AS (SELECT *, trim(regexp_replace(regexp_replace(plain, '(?i)\b\Q' || brand || '\E\b', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM p)
+SELECT id, CASE WHEN brand <> '' AND length(bare) > 5 THEN bare ELSE plain END AS label FROM b""")
+def offer_labels(spark, d):
+    """Offer names for people, of names with and without vintages in range, volumes, and brands; some would be too short without their brand."""
+    p = v.read(spark, d, "part")
+    vintage = (1960 + F.col("p_partkey") % 90).cast("string")
+    name = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lower("p_brand"), F.lit(" rosa"))).otherwise(F.concat(F.lit("Vino "), "p_name", F.lit(" "), "p_brand", F.lit(" TINTO "), vintage, F.lit(" x 750 ml")))
+    return p.select(F.col("p_partkey").alias("id"), offer_label(name, F.when(F.col("p_partkey") % 6 < 5, F.col("p_brand"))).alias("label"))

@@ -138,3 +138,18 @@ def test_repaired_images(spark):
     groups = spark.createDataFrame([("g", "gone"), ("h", "own"), ("i", None), ("j", "kept")], "group_slug string, image_url string")
     offers = spark.createDataFrame([("g", 2, "late"), ("g", 1, "early"), ("h", 1, "own"), ("i", 1, "first"), ("j", 1, None)], "group_slug string, ord int, image_url string")
     assert {r.group_slug: r.image_url for r in resolve.repair_images(groups, offers).collect()} == {"g": "early", "h": "own", "i": "first", "j": "kept"}
+
+
+def test_store_lists_and_offer_labels(spark):
+    from tallymark.functions.text import offer_label
+    from tallymark.operators import serving
+
+    rows = [("b", "B", 5, "t", ["x"], "vtex"), ("a", "A", 5, None, None, "tiendanube"), ("c", None, None, "t", [], "other"), ("d", "D", 9, "t", ["x", None], None), ("e", "E", 1, "t", None, "tiendanube")]
+    stores = spark.createDataFrame(rows, "store_slug string, store_name string, product_count int, started_at string, errors array<string>, platform string")
+    assert [(r.store_slug, r.product_count, r.errors) for r in serving.store_list(stores).orderBy("place").collect()] == [("d", 9, 2), ("a", 5, 0), ("b", 5, 1), ("e", 1, 0), ("c", 0, 0)]
+    assert [(r.store_slug, r.platform_rank) for r in serving.store_table(stores).orderBy("place").collect()] == [("a", 1), ("e", 1), ("b", 4), ("c", 99), ("d", 99)]
+    assert serving.store_list(stores.limit(0)).count() == 0
+
+    names = [("Vino Luna Malbec Reserva 2019 750ml", "Luna", "Malbec Reserva"), ("Luna tinto 1985", "LUNA", "Luna"), ("A.B Gran Corte 375 CC", "A.B", "Gran Corte"), ("AxB Gran Corte", "A.B", "AxB Gran Corte"), ("Sol 2030  Blanco", None, "Sol 2030"), ("Sol y Luna", "", "Sol y Luna"), (None, "Luna", None)]
+    d = spark.createDataFrame(names, "name string, brand string, want string")
+    assert [r.got for r in d.select(offer_label(F.col("name"), F.col("brand")).alias("got")).collect()] == [n[2] for n in names]
