@@ -8,7 +8,8 @@ The manifest, a DataFrame, names the files of the attempts that succeeded; a fil
 
 Encoding asks the tokenizers library, once per distinct word: white space is dropped by this tokenizer and no rule of it
 looks across white space, so a text's ids are those of its words in a row. Words are looked up in lower case without their closing
-ASCII punctuation, where that changes nothing.
+ASCII punctuation, where that changes nothing. A batch's texts are split and its words told apart by Arrow, so that Python meets a word
+once in a batch.
 
 Edge cases: a null text is the empty text, whose ids are the end id alone. A null doc_id sorts first. Rows that share a doc_id
 are ordered by their text's hash; identical rows are interchangeable. An empty table has no files and no rows.
@@ -26,110 +27,166 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.session import new_path, staged
 
-from .base import pick
+from .base import pick, text_slices
 from .pieces import gather
 
 _TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"  # no apostrophe: it may begin a contraction; no <>: they may end a special token
+_ALNUM = np.array([chr(k).isalnum() and k < 128 for k in range(256)])
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizers file whose pre-tokenizer drops white space."""
+    """Ids of texts by a tokenizers file whose pre-tokenizer drops white space.
 
-    def __init__(self, path: str, words: int = 250_000, cores: int = 400_000):
+    `words` are asked of the library at a time. Beyond `cores` remembered words, the half that the fewest calls met is forgotten.
+    """
+
+    def __init__(self, path: str, words: int = 4096, cores: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.wide = self.library.get_vocab_size() > 1 << 16
+        vocabulary = self.library.get_vocab()
         (self.mark,) = self.library.encode("\x01", add_special_tokens=False).ids
-        self.limits = words, cores
-        self.cores, self.words = _Pool(self._missing_core), _Pool(self._missing_word)
-        self.core_words: list[str] = []
-        self.split: list[tuple[int, int]] = []
-        self.nothing = self.cores[b""]
+        self.words, self.limit, self.cores = words, cores, _Pool()
+        # Whether an id ends a piece; where no id says so, words are parted by a mark.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.wide = len(self.ends) > 1 << 16
+        if suffix := getattr(self.library.model, "end_of_word_suffix", None):
+            self.ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
         probe = "A  word,\n\tand another's; É 漢 12 (x)! "
         if self.encode([probe])[0].tolist() != self.library.encode(probe, add_special_tokens=False).ids:
             raise ValueError(f"{path}: the ids of a text are not those of its words in a row")
 
-    def _missing_core(self, core: bytes) -> None:
-        self.core_words.append(core.decode("utf-8", "surrogatepass"))
-
-    def _missing_word(self, word: bytes) -> None:
-        core = word.rstrip(_TAIL)
-        tail = word[len(core) :]
-        text = core.decode("utf-8", "surrogatepass")
-        if not text or not text.lower()[-1].isalnum():  # a mark would join the tail
-            core, tail = word, b""
-        elif text.isascii():
-            core = core.lower() if b"<|" not in core else core
-        self.split.append((self.cores[core], self.cores[tail] if tail else self.nothing))
-
-    def _ask(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, by the library: many words in one text, parted by a mark."""
-        out: list[np.ndarray] = []
-        odd = {i for i, w in enumerate(words) if not w or "\x01" in w or any(unicodedata.combining(c) for c in w[:1])}
-        for at in range(0, len(words), 4096):
-            group = range(at, min(at + 4096, len(words)))
-            ids = np.array(self.library.encode_batch_fast([" \x01 ".join(words[i] for i in group if i not in odd)], add_special_tokens=False)[0].ids, np.int64)
-            parts = iter(np.split(ids, np.flatnonzero(ids == self.mark)) if len(ids) else [])
-            for i in group:
-                if i in odd:
-                    out.append(np.array(self.library.encode(words[i], add_special_tokens=False).ids, np.int64))
-                else:
-                    part = next(parts, ids)
-                    out.append(part[1:] if len(part) and part[0] == self.mark else part)
-        return out
+    def _library(self, words: list[str], between: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([between.join(words)], add_special_tokens=False)[0].ids, np.int64)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words of letters: one piece each, so that the ids that end pieces part them, if they are as many."""
+        ids = self._library(words, " ")
+        last = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(words) else self._marked(words)
+
+    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of any words without the mark."""
+        ids = self._library(words, " \x01 ")
+        marks = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.library.encode(words[0], add_special_tokens=False).ids
+        return np.array(ids, np.int64), np.array([len(ids)])
+
+    def _ask(self, words: list[str]) -> None:
+        """Ask the library for the ids of words and remember them, in this order."""
+        kinds: dict = {self._letters: [], self._marked: [], self._single: []}
+        for k, w in enumerate(words):
+            odd = not w or "\x01" in w or unicodedata.combining(w[0])
+            kinds[self._letters if w.isalpha() else self._single if odd else self._marked].append(k)
+        order, ids, sizes = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for ask, places in kinds.items():
+            step = 1 if ask == self._single else self.words
+            for at in range(0, len(places), step):
+                group = ask([words[k] for k in places[at : at + step]])
+                ids.append(group[0])
+                sizes.append(group[1])
+            order += places
+        flat, size, at = np.concatenate(ids), np.concatenate(sizes), np.empty(len(words), np.int64)
+        at[order] = np.arange(len(words))
+        self.cores.add(flat[gather((np.cumsum(size) - size)[at], size[at])], size[at])
+
+    def _parts(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """For distinct words, the numbers of their cores and of their tails."""
+        core = pc.ascii_rtrim(words, characters=_TAIL.decode())
+        length = pc.binary_length(core).to_numpy()
+        data = np.frombuffer(core.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(core.buffers()[1], np.int32)[core.offset + 1 : core.offset + 1 + len(core)]
+        last = np.where(length > 0, data[ends - 1] if len(data) else 0, 0)
+        fine = _ALNUM[last]
+        far = np.flatnonzero(last >= 128)
+        # The tail would join a mark, which NFC or lower case may bring forth.
+        fine[far] = [unicodedata.normalize("NFC", w).lower()[-1].isalnum() for w in _strings(core.take(pa.array(far)))]
+        core = pc.if_else(pa.array(fine), core, words)
+        lower = pc.and_(pa.array(fine), pc.and_(pc.string_is_ascii(core), pc.invert(pc.match_substring(core, "<|"))))
+        core = pc.if_else(lower, pc.ascii_lower(core), core)
+
+        whole = pc.binary_length(words).to_numpy().astype(np.int64)
+        size = np.where(fine, whole - length, 0)
+        stop = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + 1 + len(words)]
+        text = np.frombuffer(words.buffers()[2] or b"", np.uint8)[gather(stop - size, size)]
+        tail = pa.StringArray.from_buffers(len(words), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(text))
+        return self._numbers(core), self._numbers(tail)
+
+    def _numbers(self, words: pa.StringArray) -> np.ndarray:
+        coded = words.dictionary_encode()
+        return self.cores.numbers(_strings(coded.dictionary))[coded.indices.to_numpy()]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts in a row, and how many each text has; null is the empty text."""
+        if len(self.cores) > self.limit:
+            self.cores.forget(self.limit // 2)
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        both = np.stack(self._parts(coded.dictionary), 1).ravel()
+        if self.cores.missing:
+            self._ask(self.cores.missing)
+        size = self.cores.size[both]
+        ids = self.cores.ids[gather(self.cores.at[both], size)]
+        size = size.reshape(-1, 2).sum(1)
+        flat = ids[gather((np.cumsum(size) - size)[which], size[which])]
+        ends = np.append(0, np.cumsum(size[which]))[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        return flat, np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cores) > self.limits[1]:
-            self.cores.empty()
-            self.words.empty()
-            self.nothing = self.cores[b""]
-        elif len(self.words) > self.limits[0]:
-            self.words.empty()
-        look = self.words.__getitem__
-        found = []
-        for text in texts:
-            words = text.encode("utf-8", "surrogatepass").split()
-            found.append(np.fromiter(map(look, words), np.int64, len(words)))
-        if self.core_words:
-            ids = self._ask(self.core_words)
-            self.cores.add(np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
-            self.core_words = []
-        if self.split:
-            both = np.array(self.split, np.int64).ravel()
-            size = self.cores.size[both]
-            self.words.add(self.cores.ids[gather(self.cores.at[both], size)], size.reshape(-1, 2).sum(1))
-            self.split = []
-        return [self.words.ids[gather(self.words.at[k], self.words.size[k])] for k in found]
+        flat, size = self.column(pa.array(texts, pa.string()))
+        return np.split(flat, np.cumsum(size)[:-1]) if texts else []
+
+
+def _strings(words: pa.StringArray) -> list[str]:
+    """The strings of an array none of which holds a space; several times faster than to_pylist."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ") if len(words) else []
 
 
 class _Pool(dict):
     """Words by number, and the ids of each in one array."""
 
-    def __init__(self, missing):
+    def __init__(self):
         super().__init__()
-        self.missing = missing
-        self.empty()
-
-    def empty(self) -> None:
-        self.clear()
-        self.ids, self.at, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.missing: list[str] = []
+        self.ids, self.at, self.size, self.met = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         self[word] = k = len(self)
-        self.missing(word)
+        self.missing.append(word)
         return k
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words; those of `missing` are the next ones, whose ids are to be added."""
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.met[out[out < len(self.met)]] += 1
+        return out
+
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.met = np.concatenate([self.met, np.ones(len(sizes), np.int64)])
+        self.missing = []
+
+    def forget(self, most: int) -> None:
+        """Keep the `most` words that the most calls met; their counts are halved, so that old ones fade."""
+        keep = np.sort(np.argpartition(-self.met, most)[:most])
+        words = list(self)  # in the order of their numbers
+        self.clear()
+        self.update((words[k], n) for n, k in enumerate(keep.tolist()))
+        ids, size, met = self.ids[gather(self.at[keep], self.size[keep])], self.size[keep], self.met[keep]
+        self.ids, self.at, self.size, self.met = ids, np.cumsum(size) - size, size, met // 2
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -153,6 +210,9 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+_DOCS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
+
+
 class SequenceFile:
     """Writes one shard: a flat run of ids cut into sequences of `length`."""
 
@@ -164,16 +224,16 @@ class SequenceFile:
         self.sink = self.files.open_output_stream(f"{self.folder}/{self.name}.arrow")
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.rest = np.empty(0, np.uint32)
-        self.docs: tuple[list, list, list] = [], [], []
+        self.docs: list[pa.RecordBatch] = []
         self.tokens = 0
 
-    def append(self, doc_ids: list, ids: list[np.ndarray]) -> None:
-        for doc, x in zip(doc_ids, ids):
-            self.docs[0].append(doc)
-            self.docs[1].append(self.tokens)
-            self.docs[2].append(len(x))
-            self.tokens += len(x)
-        flat = np.concatenate([self.rest, *ids])
+    def append(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents, their ids in a row and how many each has."""
+        first = self.tokens + np.cumsum(sizes) - sizes
+        doc_ids = pa.array(doc_ids.to_pylist(), pa.int64())  # a copy: a slice would hold the texts that came with it
+        self.docs.append(pa.RecordBatch.from_arrays([doc_ids, pa.array(first, pa.int64()), pa.array(sizes, pa.int64())], schema=_DOCS))
+        self.tokens += len(ids)
+        flat = np.concatenate([self.rest, ids])
         whole = len(flat) // self.length * self.length
         if whole:
             self._write(flat[:whole], np.ones(whole, bool))
@@ -189,7 +249,7 @@ class SequenceFile:
             self._write(np.append(self.rest, np.zeros(room, np.uint32)), np.append(np.ones(len(self.rest), bool), np.zeros(room, bool)))
         self.writer.close()
         self.sink.close()
-        table = pa.table({"doc_id": pa.array(self.docs[0], pa.int64()), "first": pa.array(self.docs[1], pa.int64()), "n_tokens": pa.array(self.docs[2], pa.int64())})
+        table = pa.Table.from_batches(self.docs, _DOCS).combine_chunks()
         with self.files.open_output_stream(f"{self.folder}/{self.name}.docs") as sink, pa.ipc.new_file(sink, table.schema) as writer:
             writer.write_table(table)
         return self.name, self.tokens, table.num_rows
@@ -261,10 +321,9 @@ def write(documents: DataFrame, path: str, folder: str | None = None, length: in
                     if out is not None:
                         yield _row(out)
                     out = int(shard[piece[0]]), SequenceFile(folder, int(shard[piece[0]]), length, tool.wide)
-                for at in range(int(piece[0]), int(piece[-1]) + 1, 512):
-                    part = batch.slice(at, min(512, int(piece[-1]) + 1 - at))
-                    ids = [np.append(x, np.uint32(end_id)) for x in tool.encode([t or "" for t in part.column("text").to_pylist()])]
-                    out[1].append(part.column("doc_id").to_pylist(), ids)
+                for part in text_slices(iter([batch.slice(int(piece[0]), len(piece))]), limit=8 << 20):
+                    ids, size = tool.column(part.column("text"))
+                    out[1].append(part.column("doc_id"), np.insert(ids, np.cumsum(size), end_id), size + 1)
         if out is not None:
             yield _row(out)
 

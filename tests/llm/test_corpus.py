@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -376,6 +377,28 @@ def test_token_files_round_trip(spark, docs, empty):
         assert small.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_word_encoder_asks_once_a_batch(monkeypatch):
+    """A word that a batch repeats is looked up once, one that was met often outlives the words met once, and letters that NFC takes apart keep their ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    tool = token_files.WordEncoder(path, words=7, cores=40)
+    for t in ["\u0958.", "x\u0958, y", "\u0958", "İ. İx", "½. Ⅷ; ʰ:", "a\xa0b.", "\0 \u200b.", "ᄀ ᅡ."]:
+        assert tool.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+    looked = []
+    monkeypatch.setattr(token_files._Pool, "numbers", lambda self, words, numbers=token_files._Pool.numbers: (looked.extend(words), numbers(self, words))[1])
+    texts = ["often Often, OFTEN. often! " * 50, None, "", "often"]
+    ids, size = tool.column(pa.array(texts))
+    assert size.tolist() == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts] and size.sum() == len(ids)
+    assert looked.count("often") == 1
+    for k in range(60):
+        text = "often " + " ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}{c}" for c in "uvwxyz")
+        assert tool.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(tool.cores) <= 40 + 8 and "often" in tool.cores
+    assert tool.encode([]) == [] and [len(x) for x in tool.column(pa.array([], pa.string()))] == [0, 0]
+
+
 # -- 4 -----------------------------------------------------------------------------------------------------------------------
 
 
