@@ -31,16 +31,17 @@ def prune(history: DataFrame, groups: DataFrame) -> DataFrame:
     return history.join(groups.select(F.col("group_slug").alias("slug")), "slug", "left_semi")
 
 
-def price_drops(history: DataFrame, groups: DataFrame, low: float = 0.15, high: float = 0.70, least_price: float = 1500, entries: int = 7, limit: int | None = 50, offers: DataFrame | None = None) -> DataFrame:
+def price_drops(history: DataFrame, groups: DataFrame, low: float = 0.15, high: float = 0.70, least_price: float = 1500, entries: int = 7, limit: int | None = 50, offers: DataFrame | None = None, rounded: bool = False) -> DataFrame:
     """Last price against the median of the priced ones among the `entries` entries before it, for groups of two stores or more whose name holds no word of other drinks.
 
-    With `offers`, only groups that have an offer in stock that is no collector's item.
+    With `offers`, only groups that have an offer in stock that is no collector's item. `rounded` holds the drop as it is shown, to a tenth of a percent, against `low` and `high`: 70.04 % then is a drop of 70 %.
     """
     w = Window.partitionBy("slug").orderBy(F.desc("date"))
     rows = history.select("slug", "date", "min", F.row_number().over(w).alias("rn"))
     found = rows.where(F.col("rn") <= entries + 1).groupBy("slug").agg(F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col("min"))).alias("current_price"), F.max("date").alias("last_date"), F.median(F.when((F.col("rn") > 1) & (F.col("min") > 0), F.col("min"))).alias("median_price"))
     found = found.where((F.col("n") >= entries) & (F.col("median_price") > 0)).withColumn("raw", (F.col("median_price") - F.col("current_price")) / F.col("median_price"))
-    found = found.where(F.col("raw").between(low, high) & (F.col("current_price") >= least_price)).withColumn("drop_pct", F.round("raw", 3))
+    found = found.withColumn("drop_pct", F.round(F.col("raw") * 1000) / 1000)
+    found = found.where(F.col("drop_pct" if rounded else "raw").between(low, high) & (F.col("current_price") >= least_price))
     fit = groups.where((F.col("store_count") >= 2) & (F.col("in_stock_offer_count") > 0) & may_drop(F.col("name")))
     out = found.join(fit.select(F.col("group_slug").alias("slug"), "brand", "store_count"), "slug")
     if offers is not None:

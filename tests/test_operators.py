@@ -150,6 +150,15 @@ def test_price_history_edges(spark):
     assert history.rolling(h, 3).count() == 12
 
 
+def test_price_drops_by_the_rounded_share(spark):
+    day = lambda k: f"2024-01-{k:02d}"
+    last = {"a little over": 2996.0, "at": 3000.0, "far over": 2990.0, "a little under": 8504.0}
+    h = spark.createDataFrame([(s, day(k), 10000.0 if k < 8 else p, 2) for s, p in last.items() for k in range(1, 9)], "slug string, d string, min double, stores long").select("slug", F.to_date("d").alias("date"), "min", "stores")
+    g = spark.createDataFrame([(s, "b", "Malbec", 2, 1) for s in last], "group_slug string, brand string, name string, store_count long, in_stock_offer_count long")
+    assert [(r.slug, r.drop_pct) for r in history.price_drops(h, g, rounded=True).collect()] == [("a little over", 0.7), ("at", 0.7), ("a little under", 0.15)]
+    assert [r.slug for r in history.price_drops(h, g).collect()] == ["at"]
+
+
 def test_near_hashes_against_all_pairs(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(256) for _ in range(8)]
