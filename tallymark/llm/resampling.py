@@ -1,7 +1,7 @@
 """Importance resampling towards a target: documents are weighed by how much likelier their features are in the target texts.
 
-Features are runs of words hashed into buckets. The documents' counts are written once, as a sparse matrix in CSR blocks (some MB of text a
-block) in the shared folder. Column sums of the blocks, a vector as long as there are buckets, give the corpus's distribution; the target's
+Features are runs of words hashed into buckets. The documents' counts are written once, as a sparse matrix in CSR blocks (1 MB of text a
+block, a row each; row groups and Arrow batches hold a few, so that a task's memory does not grow with its share of the table) in the shared folder. Column sums of the blocks, a vector as long as there are buckets, give the corpus's distribution; the target's
 comes the same way. A bucket's gain is the rounded log of their ratio, and a block times the vector of gains gives its documents' weights. Gumbel
 noise from a hash of the doc_id turns the highest scores into a weighted sample without replacement.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.session import staged
+from tallymark.session import bound_batches, staged
 
 from .base import pick, text_slices, texts_of
 
@@ -44,7 +44,7 @@ class Settings:
     least_words: int = 20
     percent: int = 10
     seed: int = 2024
-    block_bytes: int = 4 << 20
+    block_bytes: int = 1 << 20
 
 
 class Buckets(dict):
@@ -160,7 +160,8 @@ def draw(scored: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def resample(documents: DataFrame, target: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every document; `target` has the texts to come near to."""
-    blocks = staged(csr_blocks(documents, s), "resample-csr")
+    bound_batches(documents.sparkSession)
+    blocks = staged(csr_blocks(documents, s), "resample-csr", wide=True)
     gain = gains(column_sums(blocks, s), column_sums(csr_blocks(target, s), s))
     scored = weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id"), s.seed))
     return draw(staged(scored, "resample-scores"), s)

@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 
 from tallymark.llm import fill_middle, html_text, resampling
+from tallymark.session import staged
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __tm_output string, rank string, n long, part string, row string"
 
@@ -258,3 +259,16 @@ def test_drawn_documents(spark, docs):
     out = resampling.drawn_documents(docs, target, s)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=repr) == sorted((r for r in corpus() if r[0] in ids), key=repr)
+
+
+def test_resampling_blocks_are_held_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow.dataset as ds
+
+    written = []
+    monkeypatch.setattr(resampling, "staged", lambda df, tag, **options: written.append(out := staged(df, tag, **options)) or out)
+    rows = [(k, " ".join(f"w{(k * 7919 + i * i) % 99991}" for i in range(20_000))) for k in range(120)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert resampling.resample(documents, documents.limit(1)).count() == len(rows)
+    sizes = [f.row_group(g).total_byte_size for f in (x.metadata for x in ds.dataset([p.removeprefix("file:") for p in written[0].inputFiles()]).get_fragments()) for g in range(f.num_row_groups)]
+    assert len(sizes) > 3 and max(sizes) < 1 << 20 < sum(sizes)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
