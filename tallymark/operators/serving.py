@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,19 +117,34 @@ def compare(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def pack_lanes(rows: DataFrame, key: str, position: str, gap: float = 0.04) -> DataFrame:
-    """Greedy lanes per key: a mark takes the first lane whose last mark is at least `gap` before it. Marks of one key are few by nature (a product's stores)."""
+    """Greedy lanes per key: a mark takes the first lane whose last mark is at least `gap` before it. Marks without a position come last, each in a lane of its own.
+
+    Rows are dealt by key and sorted, and pass by in one stream; a task holds a batch and the lanes' ends of one key.
+    """
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields, T.StructField("lane", T.IntegerType())])
-
-    def lanes(pdf):
-        pdf = pdf.sort_values([position, *[c for c in pdf.columns if c not in (key, position)]])
-        ends: list[float] = []
-        out = []
-        for x in pdf[position]:
-            lane = next((k for k, e in enumerate(ends) if x - e >= gap), len(ends))
-            ends[lane : lane + 1] = [x]
-            out.append(lane)
-        return pdf.assign(lane=out)
-
-    return rows.groupBy(key).applyInPandas(lanes, schema)
+    columns, at = rows.columns, F.coalesce(F.col(position).cast("double"), F.lit(float("nan")))
+
+    def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ends = (), []  # no key is a tuple
+        for batch in batches:
+            out = []
+            for name, x in zip(batch.column("__tm_key").to_pylist(), batch.column("__tm_at").to_pylist()):
+                if name != last:
+                    last, ends = name, []
+                lane = 0
+                for end in ends:
+                    if x - end >= gap:
+                        ends[lane] = x
+                        break
+                    lane += 1
+                else:
+                    ends.append(x)
+                out.append(lane)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(out, pa.int32())], [*columns, "lane"])
+
+    # NaN keys are one key, as in groupBy.
+    name = F.col(key).cast("string") if isinstance(rows.schema[key].dataType, T.FractionalType) else F.col(key)
+    order = ["__tm_key", "__tm_at", *[F.col(c).asc_nulls_last() for c in rows.columns if c not in (key, position)]]
+    return rows.select("*", name.alias("__tm_key"), at.alias("__tm_at")).repartition("__tm_key").sortWithinPartitions(*order).mapInArrow(lanes, schema)

@@ -326,3 +326,46 @@ def test_page_helpers(spark, tmp_path):
     assert pages.read_document(spark, str(tmp_path / "one.json"), "slug string, name string").count() == 2
     with pytest.raises(ValueError):
         pages.brand_index(rows, "nothing")
+
+
+def test_pack_lanes_streams_its_keys(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    rng = random.Random(9)
+    rows = [(None if k % 11 == 0 else f"g{k % 7}", None if k % 29 == 0 else round(rng.random(), 3), k) for k in range(900)]
+
+    def gathered(*_):
+        raise AssertionError("a key is gathered")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", gathered)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {r.n: r.lane for r in serving.pack_lanes(spark.createDataFrame(rows, "key string, x double, n long"), "key", "x").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want, ends = {}, {}
+    for key, x, n in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        own = ends.setdefault(key, [])
+        lane = next((k for k, e in enumerate(own) if x is not None and e is not None and x - e >= 0.04), len(own))
+        own[lane : lane + 1] = [x]
+        want[n] = lane
+    assert got == want
+
+
+def test_same_brand_pairs_classes_not_groups(spark):
+    rng = random.Random(3)
+    sets = [[], ["malbec"], ["syrah"], ["malbec", "syrah"], ["syrah", "malbec"], None, ["bonarda", None]]
+    rows = [(f"g{k:03d}", rng.choice(["a", "b", None]), rng.choice(sets), rng.randrange(4), rng.choice([None, 10.0, 20.0])) for k in range(300)]
+    g = spark.createDataFrame(rows, "group_slug string, brand string, varietals array<string>, store_count long, min_price double")
+    got = {(r.base, r["rank"]): r.group_slug for r in search.same_brand(g).collect()}
+    want = {}
+    for slug, brand, own, _, _ in rows:
+        # Overlap is unknown where nothing is shared and one side holds a null, as in SQL.
+        apart = lambda v: own is not None and v is not None and not set(own) & set(v) and not (own and v and None in own + v)
+        met = [(-n, p is None, p or 0, s) for s, b, v, n, p in rows if brand is not None and b == brand and s != slug and apart(v)]
+        want |= {(slug, n + 1): x[3] for n, x in enumerate(sorted(met)[:4])}
+    assert got == want
+    # 3,000 groups of one brand and two sets: the pairs that are joined are those of classes.
+    many = spark.range(3000).select(F.col("id").alias("group_slug"), F.lit("a").alias("brand"), F.array(F.when(F.col("id") % 2 == 0, "x").otherwise("y")).alias("varietals"), F.lit(1).alias("store_count"), F.lit(1.0).alias("min_price"))
+    assert search.same_brand(many).count() == 12_000
