@@ -369,3 +369,27 @@ def test_same_brand_pairs_classes_not_groups(spark):
     # 3,000 groups of one brand and two sets: the pairs that are joined are those of classes.
     many = spark.range(3000).select(F.col("id").alias("group_slug"), F.lit("a").alias("brand"), F.array(F.when(F.col("id") % 2 == 0, "x").otherwise("y")).alias("varietals"), F.lit(1).alias("store_count"), F.lit(1.0).alias("min_price"))
     assert search.same_brand(many).count() == 12_000
+
+
+def test_related_against_all_pairs_without_making_them(spark, monkeypatch):
+    rng = random.Random(17)
+    sets = [[], None, ["Malbec"], ["malbec", "Syrah"], ["Syrah", None], ["Bonarda", "Malbec", "Syrah"]]
+    rows = [(f"g{k:03d}", rng.choice(sets), rng.choice(["Salta", "salta", "Uco", None]), rng.choice([None, 0.0, 65.0, 100.0, 145.0, 145.1, 1000.0]) if k % 3 else round(10 ** rng.uniform(1, 5), 2), rng.randrange(6), rng.randrange(3)) for k in range(260)]
+    g = spark.createDataFrame(rows, "group_slug string, varietals array<string>, region string, min_price double, store_count long, in_stock_offer_count long")
+    low = lambda x: x.lower() if x is not None else None
+    want = {}
+    for base, own, place, price, _, _ in rows:
+        mine, met = {low(x) for x in own or []}, []
+        for slug, theirs, region, p, n, live in rows:
+            if slug != base and (p or 0) > 0 and live and (not own or (mine & {low(x) for x in theirs or []}) - {None}):
+                near = price is not None and price * 0.65 <= p <= price * 1.45
+                met.append((-((3 if own else 0) + 2 * (place is not None and low(place) == low(region)) + 2 * near + (n >= 3)), -n, slug))
+        want |= {(base, k + 1): (x[2], -x[0]) for k, x in enumerate(sorted(met)[:6])}
+    assert {(r.base, r["rank"]): (r.group_slug, r.score) for r in search.related(g, g).collect()} == want
+
+    # Of 2,000 groups of one word, region and price no join is made that holds their pairs.
+    kind, sizes, join = type(g), [], type(g).join
+    monkeypatch.setattr(kind, "join", lambda self, *a, **b: sizes.append(out := join(self, *a, **b)) or out)
+    many = spark.range(2000).select(F.col("id").alias("group_slug"), F.array(F.lit("a")).alias("varietals"), F.lit("r").alias("region"), F.lit(9.0).alias("min_price"), (F.col("id") % 9).alias("store_count"), F.lit(1).alias("in_stock_offer_count"))
+    assert search.related(many, many).count() == 12_000
+    assert max(x.count() for x in sizes) <= 10_000
