@@ -31,16 +31,26 @@ def log_position(x: Column, low: Column, high: Column) -> Column:
     return F.when(high <= low, F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.ln(x) - F.ln(low), F.ln(high) - F.ln(low)))))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Distance of two 256-bit hex strings."""
-    word = lambda x, k: F.conv(F.substring(x, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+def hash_longs(x: Column) -> Column:
+    """A 256-bit hex string as four longs."""
+    word = lambda k: F.conv(F.substring(x, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
     as_long = lambda d: F.when(d > 2**63 - 1, (d - F.lit(str(2**64)).cast("decimal(20,0)"))).otherwise(d).cast("long")
+    return F.array(*[as_long(word(k)) for k in range(4)])
+
+
+def hamming_longs(a: Column, b: Column) -> Column:
+    """Distance of two arrays of four longs."""
     out = F.lit(0)
     for k in range(4):
-        out = out + F.bit_count(as_long(word(a, k)).bitwiseXOR(as_long(word(b, k))))
+        out = out + F.bit_count(a[k].bitwiseXOR(b[k]))
     return out
 
 
+def hamming(a: Column, b: Column) -> Column:
+    """Distance of two 256-bit hex strings."""
+    return hamming_longs(hash_longs(a), hash_longs(b))
+
+
 def band(x: Column, edges: Sequence[float]) -> Column:
     """Number of the half-open band [edges[k], edges[k+1]) that holds x; the last one has no end."""
     out = F.lit(None).cast("int")

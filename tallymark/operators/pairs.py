@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.mathx import hamming, jaccard
+from tallymark.functions.mathx import hamming_longs, hash_longs, jaccard
 from tallymark.functions.text import strip_accents
 from tallymark.operators.stats import top_k
 from tallymark.session import staged
@@ -73,39 +73,55 @@ def shared_values(rows: DataFrame, value: str, key: str, least: int = 2) -> Data
 def near_hashes(hashes: DataFrame, threshold: int = 10, hot: int = 200) -> DataFrame:
     """Pairs (a, b, distance) of different 256-bit hashes within `threshold` (14 at most) bits, each named by the least url that has it.
 
-    Such hashes agree in 16 - threshold of their 16 words of 16 bits at least, so an equi-join on a word finds all. A word that more than `hot` hashes hold
+    Hashes are cut into threshold + 3 words (16 at most) of whole hex digits; close ones agree in two or three of them at least, so an equi-join on a word finds all, and the fewer
+    the words, the fewer strangers share one. A pair is taken at the first word in which it agrees. A word that more than `hot` hashes hold
     (flat pictures share many) finds its pairs in company: a close pair that agrees in hot words only agrees in several, so such
     words are joined by two, and those twos that are still hot by three. Rows of one hash are one member, see `hash_members`.
     """
     if threshold > 14:
         raise ValueError("two words in common need a distance of at most 14")
+    n = min(16, threshold + 3)
+    cuts = [64 * k // n for k in range(n + 1)]
+    width = max(y - x for x, y in zip(cuts, cuts[1:]))
     rows = hashes.where(F.length("hash") == 64).groupBy(F.lower("hash").alias("hash")).agg(F.min("url").alias("url"))
-    word = lambda k: F.concat(F.lpad(k.cast("string"), 2, "0"), F.substring("hash", k * 4 + 1, F.lit(4)))
-    posts = rows.select("url", "hash", F.transform(F.sequence(F.lit(0), F.lit(15)), word).alias("words"))
-    levels = min(3, 16 - threshold)
-    keyed = staged(posts.select("url", "hash", F.explode("words").alias("key")), "hash-words")
+    words = F.array(*[F.concat(F.lit(f"{k:02d}"), F.lpad(F.substring("hash", x + 1, y - x), width, "0")) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))])
+    keyed = staged(rows.select("url", hash_longs(F.col("hash")).alias("bits"), words.alias("words")), "hash-words").select("url", "bits", F.posexplode("words").alias("k", "key"))
+    levels = min(3, n - threshold)
     found = None
     for level in range(1, levels + 1):
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        due = sizes.where(F.col("n") <= hot) if level < levels else sizes
-        cold = keyed.join(due.select("key"), "key")
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
+        # The next level's keys: hot ones and one more hot word of a later band.
+        warm = staged(keyed.join(sizes.where(F.col("n") > hot).select("key"), "key"), "hash-hot") if level < levels else None
+        last = warm is None or warm.isEmpty()
+        cold = keyed.join(sizes.where(F.col("n").between(2, hot)).select("key"), "key") if not last else keyed
         a, b = cold.alias("a"), cold.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.url") < F.col("b.url"))).select(F.col("a.url").alias("a"), F.col("b.url").alias("b"), hamming(F.col("a.hash"), F.col("b.hash")).alias("distance"))
-        met = met.where(F.col("distance") <= threshold)
+        distance = hamming_longs(F.col("a.bits"), F.col("b.bits"))
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.url") < F.col("b.url")) & (distance <= threshold))
+        if level == 1 and last:
+            for k, (x, y) in enumerate(zip(cuts, cuts[1:-1])):
+                met = met.where((F.col("a.k") <= k) | _apart(F.col("a.bits"), F.col("b.bits"), x, y))
+            return met.select(F.col("a.url").alias("a"), F.col("b.url").alias("b"), distance.alias("distance"))
+        met = met.select(F.col("a.url").alias("a"), F.col("b.url").alias("b"), distance.alias("distance"))
         found = met if found is None else found.unionByName(met)
-        if level == levels:
-            break
-        # The next level's keys: hot ones and one more hot word of a later band.
-        warm = staged(keyed.join(sizes.where(F.col("n") > hot).select("key"), "key"), "hash-hot")
-        if warm.isEmpty():
+        if last:
             break
         if level == 1:
             single = warm.groupBy("url").agg(F.collect_list("key").alias("hot_words"))  # 16 at most
         more = warm.join(single, "url")
-        keyed = staged(more.select("url", "hash", F.explode(F.transform(F.filter("hot_words", lambda w: w > F.substring(F.col("key"), -6, 6)), lambda w: F.concat_ws("+", "key", w))).alias("key")), "hash-words")
+        keyed = staged(more.select("url", "bits", "k", F.explode(F.transform(F.filter("hot_words", lambda w: w > F.substring(F.col("key"), -width - 2, width + 2)), lambda w: F.concat_ws("+", "key", w))).alias("key")), "hash-words")
     return found.distinct()
 
 
+def _apart(a: Column, b: Column, start: int, end: int) -> Column:
+    """Whether the hex digits from `start` to `end` of two hashes (as `hash_longs`) differ."""
+    out = None
+    for k in range(start // 16, (end - 1) // 16 + 1):
+        mask = sum(15 << 4 * (15 - (d - 16 * k)) for d in range(max(start, 16 * k), min(end, 16 * k + 16)))
+        one = a[k].bitwiseXOR(b[k]).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)) != 0
+        out = one if out is None else out | one
+    return out
+
+
 def placeholder_suspects(rows: DataFrame, value: str = "hash", key: str = "group_slug", most_groups: int = 5, most_brands: int = 3) -> DataFrame:
     """Values of `value` (a hash or address) that `most_groups` groups and `most_brands` brands or more share: pictures that stand for none. Empty brands don't count."""
     brand = F.nullif(F.trim(F.lower("brand")), F.lit(""))

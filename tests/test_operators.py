@@ -393,3 +393,18 @@ def test_related_against_all_pairs_without_making_them(spark, monkeypatch):
     many = spark.range(2000).select(F.col("id").alias("group_slug"), F.array(F.lit("a")).alias("varietals"), F.lit("r").alias("region"), F.lit(9.0).alias("min_price"), (F.col("id") % 9).alias("store_count"), F.lit(1).alias("in_stock_offer_count"))
     assert search.related(many, many).count() == 12_000
     assert max(x.count() for x in sizes) <= 10_000
+
+
+@pytest.mark.parametrize("threshold", [0, 3, 10, 13, 14])
+def test_near_hashes_take_a_pair_once(spark, threshold):
+    rng = random.Random(threshold)
+    base = [rng.getrandbits(256) for _ in range(6)]
+    rows = [(f"u{k:02d}", f"{base[k % 6] ^ sum(1 << b for b in rng.sample(range(256), k % 9)):064x}") for k in range(54)]
+    first = {}
+    for u, x in rows:
+        first.setdefault(x, u)
+    want = sorted((u, w, n) for (x, u), (y, w) in itertools.combinations(first.items(), 2) if 0 < (n := bin(int(x, 16) ^ int(y, 16)).count("1")) <= threshold)
+    found = pairs.near_hashes(spark.createDataFrame(rows, "url string, hash string"), threshold)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    # No pair is found at each word it shares, to be told apart afterwards.
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
